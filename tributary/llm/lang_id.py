@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,29 +84,32 @@ class Judge:
         return self.langs[sizes.index(best)], (second - best) / saved if saved > 0 else 0.0
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: doc_id), lang_pred, score and rejected of each row.
+def judged(text: Column, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> Column:
+    """A struct of lang_pred, score and rejected for each text, compressed whole."""
 
-    The whole text is compressed. ``lang_pred`` is ``und`` where text is null or has no letter;
-    ``rejected`` holds there and where the score is below ``min_margin``. Equal sizes go to the
-    language with most labels, with score 0. Needs no shuffle; rows stay rows.
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        by_text = Judge(dictionaries)
+        for texts in batches:
+            found = [by_text(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[0] == UNDETERMINED or f[1] < min_margin for f in found]})
+
+    return judge(text)
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """doc_id, lang_pred, score and rejected of each row.
+
+    ``lang_pred`` is ``und`` where text is null or has no letter; ``rejected`` holds there and where
+    the score is below ``min_margin``. Equal sizes go to the language with most labels, with score 0.
+    Needs no shuffle; rows stay rows; other columns aren't read.
     """
-    keep = ["doc_id"] if keep is None else keep
-    names = ["lang_pred", "score", "rejected"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(dictionaries)
-        for batch in batches:
-            found = [judge(t.as_py()) for t in batch.column(len(keep))]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            columns.append(pa.array([f[0] == UNDETERMINED or f[1] < min_margin for f in found], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *names])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    return docs.select("doc_id", judged(F.col("text"), dictionaries, min_margin).alias("j")).select("doc_id", "j.lang_pred", "j.score", "j.rejected")
+
+
+def determined(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, that aren't rejected."""
+    return docs.where(~judged(F.col("text"), dictionaries, min_margin)["rejected"])
 
 
 def held_out(doc_id: Column) -> Column:
