@@ -12,9 +12,7 @@ from tributary.llm.io import stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; the classifier learns from the learnable rows of ``docs``."""
     dictionaries = lang_id.learn(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    names = docs.columns
-    found = lang_id.predict(docs, dictionaries, keep=names)
-    return found.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in names])
+    return lang_id.determined(docs, dictionaries)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
