@@ -28,6 +28,8 @@ from .words import chunks, mix, owners, windows, words_of
 LENGTH = 13
 #: The bit map: bits per hash, and its bytes at most.
 BITS_PER_HASH, MAX_MAP_BYTES = 24, 64 << 20
+#: Candidate windows that a task settles among themselves before it sends what is left.
+SETTLED = 300_000
 _LAST = np.int64((1 << 63) - 1)
 
 
@@ -134,6 +136,28 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
     run = length - half + 1
     held = docs.sparkSession.sparkContext.broadcast(known)
 
+    def settled(parts: list) -> Iterator[pa.RecordBatch]:
+        h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, doc, h2, h1))
+        h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = doc > least
+        if report:
+            many = np.maximum.reduceat(later, np.flatnonzero(new))
+            k = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(1 + many.astype(np.int32), pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
+            return
+        k = np.flatnonzero(~later)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k], pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
+        k = np.flatnonzero(later)
+        if len(k):
+            docs_, packed = _packed(doc[k], pos[k], h2[k])
+            spread = pa.array(mix(docs_.view(np.uint64)).view(np.int64))
+            n = len(docs_)
+            yield pa.RecordBatch.from_arrays([spread, pa.array(np.zeros(n, np.int64)), pa.array(docs_), pa.array(np.zeros(n, np.int32)), packed], ["h1", "h2", "id", "pos", "packed"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = held.value
         for batch in batches:
@@ -144,7 +168,6 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
                 full = _runs_fit(words, length)
                 n = len(h)
                 if sampled:
-                    seen = filter_.has(h) & fits
                     low = h.copy()
                     m = max(0, n - run + 1)
                     for j in range(1, run):
@@ -152,7 +175,6 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
                     ok = np.zeros(n, bool)
                     # every half that shares the least hash of the window repeats
                     ok[:m] = filter_.has(low[:m]) & full[:m]
-                    del seen
                 else:
                     seen = filter_.has(h) & fits
                     ok, m = full.copy(), max(0, n - run + 1)
@@ -163,28 +185,11 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
                 h1, h2 = windows(words, length)[0][at], windows(words, length, True)[0][at]
                 owner = owners(words.first)[at]
                 parts.append((h1, h2, ids[owner + a], (at - words.first[owner]).astype(np.int64)))
-            if not parts:
-                continue
-            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((pos, doc, h2, h1))
-            h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = doc > least
-            if report:
-                many = np.maximum.reduceat(later, np.flatnonzero(new))
-                k = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(1 + many.astype(np.int32), pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
-                continue
-            k = np.flatnonzero(~later)
-            yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k], pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
-            k = np.flatnonzero(later)
-            if len(k):
-                docs_, packed = _packed(doc[k], pos[k], h2[k])
-                spread = pa.array(mix(docs_.view(np.uint64)).view(np.int64))
-                n = len(docs_)
-                yield pa.RecordBatch.from_arrays([spread, pa.array(np.zeros(n, np.int64)), pa.array(docs_), pa.array(np.zeros(n, np.int32)), packed], ["h1", "h2", "id", "pos", "packed"])
+                if sum(len(p[0]) for p in parts) > SETTLED:
+                    yield from settled(parts)
+                    parts = []
+            if parts:
+                yield from settled(parts)
 
     rows = docs.mapInArrow(emit, "h1 bigint, h2 bigint, id bigint, pos int, packed binary")
     if report:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a longer document forms a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 1
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,7 +101,7 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words_of(text: Text, lower: bool = False, table: np.ndarray = _BYTE) -> Words:
+def words_of(text: Text, lower: bool = False) -> Words:
     data = LOWER[text.data] if lower else text.data
     space = _SPACE[data]
     before = np.empty_like(space)
@@ -122,7 +122,7 @@ def words_of(text: Text, lower: bool = False, table: np.ndarray = _BYTE) -> Word
     ends = np.flatnonzero(~space & stop) + 1
     up, down = _byte_powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return Words(starts, ends, np.searchsorted(starts, text.offsets), hashes)
 
