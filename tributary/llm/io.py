@@ -2,50 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from ..storage import scratch_uri, stored
 
+__all__ = ["ready", "scratch_uri", "stored", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows and bytes of the batches that go to Python: whole texts may be long, and executors small.
+BATCH_ROWS, BATCH_BYTES = 2_500, 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Ships the package and keeps batches small; a session's own smaller sizes stay."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
-def scratch_uri(spark: SparkSession) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``, deleted when the session's JVM ends.
-
-    The setting is the cluster's and is only read. Where none is set (tests on one machine), a
-    folder of our own is used; a session whose master is a cluster must name a shared one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tributary-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    path = fs.makeQualified(path)
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return path.toString()
-
-
-def drop(spark: SparkSession, uri: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage ends there, and losing
-    an executor loses none of it."""
-    spark = df.sparkSession
-    uri = scratch_uri(spark) + "/t"
-    df.write.parquet(uri)
-    return spark.read.parquet(uri)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,12 +10,14 @@ Layout: blocks | block starts (u64) | doc ids (i64) | their validity (u8) | docu
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .io import scratch_uri, table
+from .words import _BYTE, _BYTE2, LOWER, Text, _byte_powers, chunks, mix
 
 BLOCK, PERCENTILE = 1024, 0.98
 _HEAD = struct.Struct("<IBHH")  # minimum, width, exceptions, ids
@@ -177,49 +180,164 @@ class Reader:
             k = e
 
 
+#: Kinds of bytes: white space, letters, signs that neither open nor join anything, and all others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
+
+
+class Pieces(NamedTuple):
+    """Pieces of a chunk of texts: two hashes, byte bounds, whether the library must see them as they
+    are, the bounds of each text in them, and the bytes, lower-cased but for those."""
+
+    h1: np.ndarray
+    h2: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    whole: np.ndarray
+    first: np.ndarray
+    data: np.ndarray
+
+
+def pieces_of(text: Text) -> Pieces:
+    """Runs of letters and of signs; between white space where anything else is, the whole of it.
+
+    The vocabulary's splitter parts letters from signs and drops white space, and its normaliser only
+    lower-cases the letters of ASCII and Latin-1, so a text's ids are those of its pieces in turn.
+    """
+    data, kind = text.data, _KIND[text.data]
+    low = LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) > 1 else np.zeros(0, np.int64)
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    kind[lead[letter]] = kind[lead[letter] + 1] = 1
+    low[lead[letter & (second < 0x9F)] + 1] += 0x20
+    inner = text.offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+
+    def runs(same: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of runs of equal values that are used and lie in one text."""
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = same[1:] != same[:-1]
+        cut[inner] = True
+        return np.flatnonzero(cut[:-1] & used), np.flatnonzero(cut[1:] & used) + 1
+
+    filled = kind > 0
+    starts, ends = runs(filled, filled)
+    odd = np.concatenate([[0], np.cumsum(kind == 3)])
+    mixed = odd[ends] > odd[starts]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[mixed]] += 1
+    edge[ends[mixed]] -= 1
+    inside = np.cumsum(edge[:-1]) > 0
+    kind[inside] = 3
+    low[inside] = data[inside]
+    starts, ends = runs(kind, filled)
+    up, down = _byte_powers(len(data) + 1)
+    hashes = []
+    for table_ in (_BYTE, _BYTE2):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table_[low] * up[:-1], out=sums[1:])
+        hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return Pieces(*hashes, starts, ends, kind[starts] == 3, np.searchsorted(starts, text.offsets), low)
+
+
 class UnitEncoder:
-    """The library's ids of whole texts, by the units between single spaces.
+    """The library's ids of whole texts, by pieces that it treats apart.
 
-    The vocabulary's splitter drops white space and its normaliser works within such a unit, so the
-    ids of a text are those of its units in turn. Units met before, up to two generations of
-    ``size``, aren't encoded again; new ones go to the library in batches.
+    Pieces are told from each other by two 64-bit hashes, over all of a slice at once; each different
+    one is looked up once. Those met before, up to two generations of ``size``, aren't encoded again;
+    of new ones, all plain words go to the library in one call, others in a batch.
     """
 
     def __init__(self, path: str, size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation(), self.library.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.words):
+            t.no_truncation(), t.no_padding()
+        # for pieces that are normalised and split already
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.size, self.known, self.old = size, {}, {}
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        units = [t.split(" ") if t else [] for t in texts]
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, one after the other, and the bounds of each."""
+        parts: list[Pieces] = []
+        docs, held = [], 0
+        for _, _, text in chunks(column):
+            p = pieces_of(text)
+            parts.append(p)
+            docs.append(p.first[1:] + held)
+            held += len(p.h1)
+        if not held:
+            return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
+        h1, h2 = (np.concatenate(x) for x in (tuple(p.h1 for p in parts), tuple(p.h2 for p in parts)))
+        keys, at, back = np.unique(h1, return_index=True, return_inverse=True)
+        if (h2[at][back] != h2).any():  # two pieces of one hash: tell them by both
+            keys, at, back = np.unique(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
         known, old = self.known, self.old
-        new = set().union(*units).difference(known) if units else set()
-        for u in [u for u in new if u in old]:
-            known[u] = old[u]
-            new.discard(u)
+        listed = keys.tolist()
+        found = list(map(known.get, listed))
+        new = []
+        for i in [i for i, f in enumerate(found) if f is None]:
+            value = old.get(listed[i])
+            if value is None:
+                new.append(i)
+            else:
+                found[i] = known[listed[i]] = value
         if new:
-            fresh = list(new)
-            for u, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[u] = np.asarray(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, u)), "<u4") for u in units]
-        if len(known) > self.size:
-            self.known, self.old = {}, known
+            marks = h2[at[new]].tobytes()
+            for k, (i, ids) in enumerate(zip(new, self._encode(parts, at[new]))):
+                found[i] = known[listed[i]] = marks[8 * k : 8 * k + 8] + ids
+        # a value starts with its piece's second hash
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        check = flat[start].astype(np.uint64) | flat[start + 1].astype(np.uint64) << np.uint64(32)
+        if (check != h2[at]).any():
+            self.known, self.old = {}, {}  # another piece has this hash: forget all, and go again
+            return self(column)
+        count = size[back] - 2
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(start[back] + 2 - total[:-1], count) + np.arange(total[-1])]
+        if len(self.known) > self.size:
+            self.known, self.old = {}, self.known
+        return ids, total[np.concatenate([[0], *docs])]
+
+    def _encode(self, parts: list[Pieces], at: np.ndarray) -> list[bytes]:
+        """Ids of the pieces with these numbers."""
+        bounds = np.cumsum([0, *(len(p.h1) for p in parts)])
+        texts: list[str] = [""] * len(at)
+        whole = np.zeros(len(at), bool)
+        for g, p in enumerate(parts):
+            here = np.flatnonzero((at >= bounds[g]) & (at < bounds[g + 1]))
+            if len(here):
+                j, raw = at[here] - bounds[g], p.data.tobytes()
+                whole[here] = p.whole[j]
+                for i, x, y in zip(here.tolist(), p.starts[j].tolist(), p.ends[j].tolist()):
+                    texts[i] = raw[x:y].decode()
+        out: list[bytes] = [b""] * len(at)
+        plain, others = np.flatnonzero(~whole).tolist(), np.flatnonzero(whole).tolist()
+        if plain:
+            e = self.words.encode([texts[i] for i in plain], is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            a = 0
+            for i, b in zip(plain, (np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(plain))) * 4).tolist()):
+                out[i] = ids[a:b]
+                a = b
+        for i, e in zip(others, self.library.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)):
+            out[i] = np.asarray(e.ids, "<u4").tobytes()
         return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def _slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum([0, *(len(t) if t else 0 for t in texts.to_pylist())])
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
-        yield a, min(b, len(texts))
-        a = b
+#: Text bytes whose units are looked up at once.
+_SLICE = 6 << 20
 
 
 def _filesystem(uri: str):
@@ -240,13 +358,16 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or UnitEncoder(path)
-        _encoders[path] = encoder
+        if path not in _encoders:
+            _encoders[path] = UnitEncoder(path)
+        # the encoder makes millions of small objects and no cycles: scans for those only cost
+        gc.disable()
+        encoder = _encoders[path]
         end, writer, first, target = np.asarray([end_id], "<u4"), None, None, ""
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
-                ids = encoder(batch.column(1).slice(a, b - a).to_pylist())
-                for d, x in zip(batch.column(0).slice(a, b - a).to_pylist(), ids):
+            for a, b, _ in chunks(batch.column(1), _SLICE):
+                ids, bounds = encoder(batch.column(1).slice(a, b - a))
+                for d, x in zip(batch.column(0).slice(a, b - a).to_pylist(), np.split(ids, bounds[1:-1])):
                     if writer is None:
                         target, first = f"{uri}/part-{uuid.uuid4().hex}.ids", d
                         files, where = _filesystem(target)
@@ -254,6 +375,7 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) ->
                     writer.add(d, np.concatenate([x, end]))
         if writer is not None:
             writer.close()
+            gc.enable()
             yield pa.RecordBatch.from_pydict({"uri": [target], "first": pa.array([first], pa.int64()), "docs": [len(writer.docs)], "ids": [writer.total]})
 
     # a sorted range follows another; the exchange's pieces may be merged, but only with neighbours
