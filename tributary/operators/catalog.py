@@ -131,14 +131,15 @@ def discovery_edges(leftovers: DataFrame) -> DataFrame:
     return pairs.groupBy("from", "to", "job").agg(F.countDistinct("target").alias("n_mappings"), F.lit(True).alias("column_discovery"))
 
 
-_TIER = F.when(F.col("source") == "declared", 0).when(F.col("source") == "inferred_sql", 1).otherwise(2)
+def _tier() -> Column:
+    return F.when(F.col("source") == "declared", 0).when(F.col("source") == "inferred_sql", 1).otherwise(2)
 
 
 def by_precedence(mappings: DataFrame) -> DataFrame:
     """Of (edge, target, source, seq, …): declared ones all stay; of the others the first by SQL, then
     code, and only where the target isn't declared."""
-    w = W.partitionBy("edge", "target").orderBy(_TIER, "seq")
-    ranked = mappings.withColumn("k", F.row_number().over(w)).withColumn("first_tier", F.min(_TIER).over(W.partitionBy("edge", "target")))
+    w = W.partitionBy("edge", "target").orderBy(_tier(), "seq")
+    ranked = mappings.withColumn("k", F.row_number().over(w)).withColumn("first_tier", F.min(_tier()).over(W.partitionBy("edge", "target")))
     return ranked.where((F.col("k") == 1) | ((F.col("first_tier") == 0) & (F.col("source") == "declared"))).drop("k", "first_tier")
 
 
