@@ -4,12 +4,12 @@ Rows with equal sets are one class. Two kinds of pivots cut the space into regio
 
 1.  Single shingles. A set is nearest to the pivots it holds, all at the same distance, so ties go by
     a global order, and the window in which a similar set may lie is the first |x| - ceil(t |x|) + 3
-    shingles of x: similar sets share three of these. A region of few sets proposes pairs of matching
-    sizes. A region of many is left open; its pivot goes to the end of the order, and only the sets
+    shingles of x: similar sets share three of these, and more the larger they are. A region of few
+    sets proposes pairs of matching sizes; a pair that enough regions propose stays. A region of many is left open; its pivot goes to the end of the order, and only the sets
     that hold an open pivot enter the next round. Each pair is thus proposed, or both of its sets
     stay open.
-2.  Sets. What stays open, and each connected group of proposals, is a region to be joined exactly. A
-    small one is joined in a task. A large one is cut into the Voronoi cells of some of its sets; a
+2.  Sets. Each group that proposals connect, and each that open pivots do, is a region to be joined
+    exactly. A small one is joined in a task. A large one is cut into the Voronoi cells of some of its sets; a
     set goes to its own cell and, by the triangle inequality, to each that is nearer than its own
     plus twice the radius. Cells are cut again until they are small; one that doesn't shrink is
     joined by blocks.
@@ -30,8 +30,11 @@ from pyspark.sql import Window as W
 
 from .components import components
 from .io import stored, table
-from .substring_dedup import BitMap, bit_map
-from .words import chunks, mix, windows, words_of
+from .substring_dedup import bit_map
+from .words import chunks, mix, relax, windows, words_of
+
+#: Hashes that are sent around as they are (8 bytes each); more go into a bit map of bounded size.
+EXACT_HASHES = 1_000_000
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that the windows of two similar sets share, at least.
@@ -39,7 +42,7 @@ SHARED = 3
 #: Sets of a region that proposes pairs; rounds of reordering at most.
 OPEN, ROUNDS = 64, 6
 #: Sets, and shingles, of a region that one task joins; pivots of a larger one.
-REGION_SETS, REGION_SHINGLES, PIVOTS = 600, 2_000_000, 24
+REGION_SETS, REGION_SHINGLES, PIVOTS = 4_000, 1_500_000, 24
 _PAIRS = 400_000
 
 
@@ -101,78 +104,122 @@ def _sets(docs: DataFrame) -> DataFrame:
                 f1, f2 = _fingerprints(h, bounds)
                 columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _ragged(h, bounds, window(n))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "win"])
+        relax()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, f1 bigint, f2 bigint, win array<bigint>")
 
 
-def _some_sets(docs: DataFrame, wanted: BitMap, last: BitMap | None) -> DataFrame:
-    """doc_id, f1, f2 and set of the rows whose fingerprint may be wanted: all shingles as bytes, or,
-    with ``last``, the window as lists, shingles of that map behind all others."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class HashSet:
+    """Membership of 64-bit hashes, exact up to EXACT_HASHES and with false alarms beyond."""
+
+    def __init__(self, hashes: DataFrame, n: int) -> None:
+        self.map = self.sorted = None
+        if n <= EXACT_HASHES:
+            self.sorted = np.unique(hashes.toArrow().column(0).to_numpy().view(np.uint64))
+        else:
+            self.map = bit_map(hashes, n)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if self.map is not None:
+            return self.map.has(x)
+        if not len(self.sorted):
+            return np.zeros(len(x), bool)
+        return self.sorted[np.minimum(np.searchsorted(self.sorted, x), len(self.sorted) - 1)] == x
+
+
+class _All:
+    """A set of all hashes."""
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), bool)
+
+
+def _rows_of(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
+    """The rows whose doc_id may be wanted: known before any word is looked at."""
+    ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.filter(pa.array(wanted.has(ids.view(np.uint64))))
+
+
+def _windows_again(docs: DataFrame, wanted: HashSet, last: HashSet) -> DataFrame:
+    """cid, n and window of the wanted rows' sets, with the shingles of ``last`` behind all others."""
     held = docs.sparkSession.sparkContext.broadcast((wanted, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted_, last_ = held.value
         for batch in batches:
-            # ids tell without words whether a row may be wanted
-            ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.flatnonzero(wanted_.has(mix(ids.view(np.uint64))))
-            if not len(rows):
-                continue
-            some = batch.take(pa.array(rows))
-            for a, b, text in chunks(some.column(1)):
+            for _, _, text in chunks(_rows_of(batch, wanted_).column(1)):
                 h, bounds = shingles(text)
-                f1, f2 = _fingerprints(h, bounds)
-                if last_ is None:
-                    data = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-                    third = pa.array(data, pa.binary())
-                else:
-                    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                    third = _ragged(h[np.lexsort((h, last_.has(h), owner))], bounds, window(np.diff(bounds)))
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), third], ["doc_id", "f1", "f2", "item"])
+                n = np.diff(bounds)
+                order = np.lexsort((h, last_.has(h), np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, bounds)[0].view(np.int64)), pa.array(n, pa.int32()), _ragged(h[order], bounds, window(n))], ["cid", "n", "win"])
+        relax()
 
-    item = "binary" if last is None else "array<bigint>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 bigint, f2 bigint, item {item}")
+    return docs.mapInArrow(run, "cid bigint, n int, win array<bigint>")
 
 
-def _id_map(classes: DataFrame, n: int) -> BitMap:
-    """A map of the representatives' ids, by the hash that ``_some_sets`` looks them up with."""
+def _whole_sets(docs: DataFrame, wanted: HashSet) -> DataFrame:
+    """cid and all shingles, as bytes, of the wanted rows' sets."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(np.uint64)).view(np.int64))], ["h"])
+            for _, _, text in chunks(_rows_of(batch, held.value).column(1)):
+                h, bounds = shingles(text)
+                items = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, bounds)[0].view(np.int64)), pa.array(items, pa.binary())], ["cid", "item"])
+        relax()
+
+    return docs.mapInArrow(run, "cid bigint, item binary")
 
-    return bit_map(classes.select(F.col("rep").cast("bigint")).mapInArrow(run, "h bigint"), n)
 
+def _ids(classes: DataFrame) -> HashSet:
+    """The representatives of some classes."""
+    ids = stored(classes.select(F.coalesce(F.col("rep").cast("bigint"), F.lit(-1)).alias("h")).distinct())
+    return HashSet(ids, ids.count())
 
-def _pairs_of(tok: np.ndarray, cid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of equal ``tok`` whose sizes are near enough, each once, with their number.
-    Rows come by tok and n."""
-    found, d = [], 1
+
+def least_shared(n, m):
+    """Shingles that the windows of two similar sets of n and m shingles share, at least.
+
+    Of the two windows, one ends first in the order. What the other set has up to there lies in its
+    own window, so each shingle of the first window that isn't shared is missing from the other set
+    for good; more than |x| - 4 (n + m) / 9 of them make the pair's overlap too small.
+    """
+    overlap = (4 * (n + m) + 8) // 9
+    return np.maximum(1, np.minimum(overlap - n + window(n), overlap - m + window(m)))
+
+
+def _pairs_of(tok: np.ndarray, cid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of equal ``tok`` whose sizes are near enough, each once, with their number and
+    the number that they need. Rows come by tok and n."""
+    found, d, n = [], 1, n.astype(np.int64)
     while d < len(tok):
         same = tok[d:] == tok[:-d]
         if not same.any():
             break
         # smaller sets come first: the larger one's need must not exceed the smaller
-        near = np.flatnonzero(same & (needed(n[d:].astype(np.int64)) <= n[:-d]))
+        near = np.flatnonzero(same & (needed(n[d:]) <= n[:-d]))
         if len(near):
-            found.append(np.stack([cid[near], cid[near + d]]))
+            found.append(np.stack([np.minimum(cid[near], cid[near + d]), np.maximum(cid[near], cid[near + d]), least_shared(n[near], n[near + d])]))
         d += 1
     if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    pairs = np.sort(np.concatenate(found, axis=1), axis=0)
-    order = np.lexsort((pairs[1], pairs[0]))
-    pairs = pairs[:, order]
+        return (np.zeros(0, np.int64),) * 4
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
     new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
     at = np.flatnonzero(new)
-    return pairs[0, at], pairs[1, at], np.diff(np.concatenate([at, [pairs.shape[1]]]))
+    return pairs[0, at], pairs[1, at], np.diff(np.concatenate([at, [pairs.shape[1]]])), pairs[2, at]
+
+
+def _first_of(tok: np.ndarray, cid: np.ndarray) -> np.ndarray:
+    once = np.ones(len(tok), bool)
+    once[1:] = (tok[1:] != tok[:-1]) | (cid[1:] != cid[:-1])
+    return once
 
 
 def _regions(tokens: DataFrame) -> DataFrame:
-    """From rows (tok, cid, n): proposals (a, b, k), k a count of shared pivots, and open pivots
+    """From rows (cid, n, win): proposals (a, b, k, need), k a count of shared pivots, and open pivots
     (a = tok, b null). A task that meets a pivot more than OPEN times sends one row for all."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +231,10 @@ def _regions(tokens: DataFrame) -> DataFrame:
             cid, n = np.repeat(cid, sizes), np.repeat(n, sizes)
             keep = ~np.isin(tok, many)
             tok, cid, n = tok[keep], cid[keep], n[keep]
-            order = np.argsort(tok, kind="stable")
+            order = np.lexsort((cid, tok))
             tok, cid, n = tok[order], cid[order], n[order]
+            once = _first_of(tok, cid)  # of copies, one is enough
+            tok, cid, n = tok[once], cid[once], n[once]
             start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([start, [len(tok)]]))
             big = start[size > OPEN]
@@ -211,10 +260,11 @@ def _regions(tokens: DataFrame) -> DataFrame:
             return tok[start[is_open]]
 
         def batch_of(opened):
-            a, b, k = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+            a, b, k, need = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
             found.clear()
-            m = len(opened)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, opened]), pa.int64()), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([k, np.zeros(m, np.int64)]), pa.int64())], ["a", "b", "k"])
+            m, none = len(opened), np.zeros(len(opened), np.int64)
+            pair = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(m, pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, opened]), pa.int64()), pair, pa.array(np.concatenate([k, none]).astype(np.int32)), pa.array(np.concatenate([need, none]).astype(np.int32))], ["a", "b", "k", "need"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -223,6 +273,8 @@ def _regions(tokens: DataFrame) -> DataFrame:
             cid, n = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             if held is not None:
                 tok, cid, n, marked = (np.concatenate(x) for x in zip(held, (tok, cid, n, marked)))
+            once = _first_of(tok, cid)
+            tok, cid, n, marked = tok[once], cid[once], n[once], marked[once]
             last = int(np.searchsorted(tok, tok[-1], "left"))
             # the last group may go on; of a long one, OPEN + 1 rows tell enough
             keep = slice(last, min(len(tok), last + OPEN + 1))
@@ -235,20 +287,10 @@ def _regions(tokens: DataFrame) -> DataFrame:
                     yield batch_of(opened)
         if held is not None:
             yield batch_of(settle(*held))
+        relax()
 
     thinned = tokens.select("cid", "n", "win").mapInArrow(thin, "tok bigint, cid bigint, n int")
-    return thinned.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(propose, "a bigint, b bigint, k bigint")
-
-
-def _class_table(sets: DataFrame) -> DataFrame:
-    """cid, f1, f2, n, rep (least doc_id), mult and window of each distinct set."""
-    grouped = sets.groupBy("f1", "f2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("win").alias("win"))
-    return stored(grouped.withColumn("cid", F.monotonically_increasing_id()))
-
-
-def _pick(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, n and item of the wanted classes among ``found`` rows, each once."""
-    return found.join(classes.select("cid", "n", "f1", "f2", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2"]).select("cid", "n", "item").dropDuplicates(["cid"])
+    return thinned.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(propose, "a bigint, b bigint, k int, need int")
 
 
 def _exact(members: list[tuple[int, bool, np.ndarray]]) -> tuple[list[int], list[int]]:
@@ -289,8 +331,11 @@ def _exact(members: list[tuple[int, bool, np.ndarray]]) -> tuple[list[int], list
 
 
 def _join_region(t: pa.Table) -> pa.Table:
-    members = [(c, o, np.frombuffer(s, np.uint64)) for c, o, s in zip(*(t.column(k).to_pylist() for k in ("cid", "own", "item")))]
-    a, b = _exact(members)
+    # rows of one set may come more than once
+    members = {c: (c, o, np.frombuffer(s, np.uint64)) for c, o, s in zip(*(t.column(k).to_pylist() for k in ("cid", "own", "item")))}
+    a, b = _exact(list(members.values()))
+    if t.num_rows > 200:
+        relax()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -364,48 +409,76 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows' sets (doc_id, n, f1, f2), classes (cid, f1, f2, n, rep, mult), and the similar pairs of
-    different classes (a, b), a below b."""
+    different classes (a, b), a below b. A class goes by the first 64 bits of its fingerprint."""
     docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs))
-    classes = _class_table(sets)
-    now, open_classes, hot, proposals = classes.where("n > 0").select("cid", "n", "win"), None, None, []
+    classes = stored(sets.groupBy("f1", "f2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("mult")).withColumn("cid", F.col("f1")))
+    now, still_open, hot, pairs = sets.where("n > 0").select(F.col("f1").alias("cid"), "n", "win"), None, None, None
     for _ in range(ROUNDS):
         found = stored(_regions(now))
-        proposals.append(found.where("b is not null"))
+        # a pair whose shared pivots are all closed here is counted in full; others meet again
+        enough = stored(found.where("b is not null").groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b"))
+        pairs = enough if pairs is None else pairs.union(enough)
         fresh = found.where("b is null").select(F.col("a").alias("tok")).distinct()
         n_open = fresh.count()
         if not n_open:
-            open_classes = None
+            still_open = None
             break
-        open_map = bit_map(fresh, n_open)
-        known = fresh if hot is None else hot.union(fresh).distinct()
+        # the sets that hold an open pivot; others have met all that they can be similar to
+        still_open = stored(_holding(now, HashSet(fresh, n_open)).distinct())
         if hot is not None and fresh.join(hot, "tok", "left_anti").isEmpty():
-            open_classes = _holding(now, open_map)
             break
-        hot = stored(known)
-        # the map may name a few more sets than hold an open pivot: they only are looked at again
-        open_classes = stored(_holding(now, open_map).join(classes.select("cid", "f1", "f2", "rep"), "cid"))
-        n_again = open_classes.count()
-        last = bit_map(hot, hot.count())
-        now = stored(_pick(_some_sets(docs, _id_map(open_classes, n_again), last), classes.join(open_classes.select("cid"), "cid", "left_semi")).withColumnRenamed("item", "win"))
-    counted = None
-    for p in proposals:
-        counted = p if counted is None else counted.union(p)
-    # at most SHARED count per round, so a pair's counts of one round decide; rounds add up to more at most
-    pairs = stored(counted.groupBy("a", "b").agg(F.sum("k").alias("k")).where(F.col("k") >= SHARED).select("a", "b"))
+        hot = stored(fresh if hot is None else hot.union(fresh).distinct())
+        again = _ids(classes.join(still_open, "cid", "left_semi"))
+        now = stored(_windows_again(docs, again, HashSet(hot, hot.count())))
+    else:
+        fresh = None  # rounds are used up: what is left is connected by any pivot
     groups = components(pairs).select(F.concat(F.lit("g"), F.col("root").cast("string")).alias("region"), F.col("node").alias("cid"))
-    if open_classes is not None:
-        groups = groups.union(open_classes.select(F.lit("open").alias("region"), "cid"))
-    groups = stored(groups)
-    wanted = stored(classes.join(groups.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "f1", "f2", "rep"))
-    members = _pick(_some_sets(docs, _id_map(wanted, wanted.count()), None), wanted)
-    links = join_regions(groups.join(members, "cid").select("region", "cid", F.lit(True).alias("own"), "item"))
-    return sets.select("doc_id", "n", "f1", "f2"), classes.drop("win"), stored(links)
-
-
-def _holding(now: DataFrame, open_map: BitMap) -> DataFrame:
-    """cids of the rows whose window may hold an open pivot."""
-    held = now.sparkSession.sparkContext.broadcast(open_map)
+    if still_open is not None:
+        dense = components(_stars(now.join(still_open, "cid", "left_semi"), _All() if fresh is None else HashSet(fresh, n_open)))
+        groups = groups.union(dense.select(F.concat(F.lit("d"), F.col("root").cast("string")), "node"))
+    groups = stored(groups.join(classes.select("cid", "n", "rep"), "cid"))
+    items = _whole_sets(docs, _ids(groups))
+    size = groups.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    large = stored(size.where((F.col("sets") > REGION_SETS) | (F.col("total") > REGION_SHINGLES)).select("region"))
+    member = lambda g: items.join(g.select("region", "cid"), "cid").select("region", "cid", F.lit(True).alias("own"), "item")
+    links = member(groups.join(large, "region", "left_anti")).groupBy("region").applyInArrow(_join_region, "a bigint, b bigint")
+    if not large.isEmpty():
+        links = links.union(join_regions(member(groups.join(large, "region", "left_semi"))))
+    return sets.select("doc_id", "n", "f1", "f2"), classes, stored(links.distinct())
+
+
+def _stars(now: DataFrame, opened: HashSet) -> DataFrame:
+    """Edges (a, b) that connect all sets which hold the same open pivot: each with the first of its
+    batch, and those with the first of all. So a pivot sends a row for a batch, however many hold it."""
+    held = now.sparkSession.sparkContext.broadcast(opened)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, cid = batch.column(1), batch.column(0).to_numpy()
+            offsets = lists.offsets.to_numpy()
+            tok, cid = lists.values.to_numpy()[offsets[0] : offsets[-1]], np.repeat(cid, np.diff(offsets))
+            use = held.value.has(tok.view(np.uint64))
+            tok, cid = tok[use], cid[use]
+            order = np.lexsort((cid, tok))
+            tok, cid = tok[order], cid[order]
+            first = np.ones(len(tok), bool)
+            first[1:] = tok[1:] != tok[:-1]
+            head = cid[np.flatnonzero(first)][np.cumsum(first) - 1] if len(tok) else cid
+            pairs = np.unique(np.stack([head[~first], cid[~first]]), axis=1) if len(tok) else np.zeros((2, 0), np.int64)
+            a, b = np.concatenate([cid[first], pairs[0]]), np.concatenate([cid[first], pairs[1]])
+            t = pa.concat_arrays([pa.array(tok[first], pa.int64()), pa.nulls(pairs.shape[1], pa.int64())])
+            yield pa.RecordBatch.from_arrays([t, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tok", "a", "b"])
+
+    rows = stored(now.select("cid", "win").mapInArrow(run, "tok bigint, a bigint, b bigint"))
+    heads = rows.where("tok is not null").select("tok", "a")
+    least = heads.groupBy("tok").agg(F.min("a").alias("b"))
+    return rows.where("tok is null").select("a", "b").union(heads.join(least, "tok").select("a", "b"))
+
+
+def _holding(now: DataFrame, opened: HashSet) -> DataFrame:
+    """cids of the rows whose window holds an open pivot."""
+    held = now.sparkSession.sparkContext.broadcast(opened)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ loops over words in Python: every step is a numpy pass over one chunk of documen
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,6 +60,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def relax() -> None:
+    """Gives memory that is free in this worker back to the machine, which its executor shares."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Text(NamedTuple):
     """A chunk of documents: bytes, document offsets in them, and nulls."""
 
