@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from tributary.llm import decontaminate as D
 
-from .cases import table, words
+from .cases import rows, table, words
 
 ITEM = "Alice bought 12 apples for 3 dollars each and Bob sold 12 pears in Paris while Carol walked 5 miles to the market to count 12 apples"
 PROSE = "nothing to see in these few words of quite ordinary prose"
@@ -34,10 +34,12 @@ def test_short_and_unlike_texts(spark):
 
 @pytest.mark.parametrize("parts", [D.MAX_INDEX, 20])
 def test_rows_and_parts(spark, parts):
-    docs = table(spark)
-    bench = spark.createDataFrame([(1, words(40, 3)), (2, words(40, 77)), (1, words(30, 4)), (None, words(30, 5))], "item_id long, text string")
+    # words with digits are numbers here, so digits become letters
+    spell = lambda t: None if t is None else t.translate(str.maketrans("0123456789", "abcdefghij"))
+    docs = table(spark, [(r[0], spell(r[1]), *r[2:]) for r in rows()])
+    bench = spark.createDataFrame([(1, spell(words(40, 3))), (2, spell(words(40, 77))), (1, spell(words(30, 4))), (None, spell(words(30, 78)))], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0) for r in D.find_items(docs, bench, parts).collect())
-    assert got == [(10, 1), (10, 1), (10, 1), (11, 0), (11, 1), (15, 1)]
+    assert got == [(10, 1), (10, 1), (10, 1), (11, 1), (15, 1)]
     assert docs.where(D.holds_items(docs.text, bench, parts)).select("doc_id").distinct().count() == 3
     assert D.find_items(docs, bench.limit(0)).count() == 0 == D.find_items(table(spark, []), bench).count()
 

@@ -65,7 +65,7 @@ def chain():
     return rows
 
 
-@pytest.mark.parametrize("sets,shingles", [(600, 2_000_000), (9, 2_000_000), (600, 3000)])
+@pytest.mark.parametrize("sets,shingles", [(4000, 1_500_000), (9, 1_500_000), (4000, 3000)])
 def test_regions_are_cut_and_joined_exactly(spark, sets, shingles, monkeypatch):
     for name, value in (("OPEN", 5), ("REGION_SETS", sets), ("REGION_SHINGLES", shingles), ("PIVOTS", 4)):
         monkeypatch.setattr(J, name, value)
