@@ -41,14 +41,18 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines, one for each order, number, part and supplier."""
+    return read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+
+
 def _edge_id() -> Column:
-    """Lines share order and number, but not also part and supplier."""
     return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """An edge per order line: edge_id, from, to, job, source, origin, column_discovery (returned lines)."""
-    l = read(spark, d, "lineitem").join(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    l = lines(spark, d).join(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     src = source_of(F.col("o_orderstatus"))
     return l.select(
         _edge_id().alias("edge_id"), _key("part.", "l_partkey").alias("from"), _key("supplier.", "l_suppkey").alias("to"), _key("o", "l_orderkey").alias("job"), src.alias("source"),
@@ -59,7 +63,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def column_edges(spark: SparkSession, d: str) -> DataFrame:
     """Mappings of each line: price from price and discount, quantity from quantity, and, where the
     line is still open, a count without sources."""
-    l = read(spark, d, "lineitem")  # noqa: E741
+    l = lines(spark, d)  # noqa: E741
     part, supplier = _key("part.", "l_partkey"), _key("supplier.", "l_suppkey")
     ref = lambda ds, c: F.struct(ds.alias("dataset"), F.lit(c).alias("column"))
     none = F.array().cast("array<struct<dataset:string,column:string>>")

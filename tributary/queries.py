@@ -27,8 +27,9 @@ def query(name: str, sql: str | None = None):
 
 
 _SRC = "CASE o_orderstatus WHEN 'F' THEN 'declared' WHEN 'O' THEN 'inferred_sql' ELSE 'inferred_code' END"
+_LINES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2, 3, 4)"
 _EDGES = f"""e AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS edge_id, 'part.' || l_partkey AS f, 'supplier.' || l_suppkey AS t, 'o' || l_orderkey AS job, {_SRC} AS src,
-  l_returnflag = 'R' AS disc, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+  l_returnflag = 'R' AS disc, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_orderkey FROM {_LINES} JOIN orders ON l_orderkey = o_orderkey)"""
 _MAPS = """m AS (SELECT edge_id, f, t, disc, o, c, src FROM (SELECT *, unnest([0, 1, 2]) AS o FROM (SELECT edge_id, f, t, disc, l_linestatus, l_linenumber FROM e))
   JOIN (VALUES (0, 'revenue', 'declared'), (1, 'quantity', 'inferred_code'), (2, 'n_lines', 'declared')) AS v(k, c, src) ON k = o WHERE l_linenumber <= 5 AND (o < 2 OR l_linestatus = 'O'))"""
 _REFS = """refs AS (SELECT edge_id, o, 0 AS k, 0 AS p, t AS ds, c FROM m UNION ALL SELECT edge_id, o, 1, 0, f, CASE o WHEN 0 THEN 'price' ELSE 'quantity' END FROM m WHERE o < 2
@@ -37,7 +38,7 @@ _SCHEMAS = """sch AS (SELECT 'part.' || p_partkey AS ds, unnest(['price', 'quant
   UNION ALL SELECT 'supplier.' || s_suppkey, unnest(['price', 'revenue', 'quantity']) FROM supplier WHERE s_suppkey % 3 <> 0)"""
 
 _COUNTS = f"""{_EDGES}, j AS (SELECT 'o' || o_orderkey AS id, o_orderpriority AS dag, {_SRC} AS src FROM orders), linked AS (SELECT DISTINCT job FROM e),
-mc AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS edge_id, CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS n FROM lineitem WHERE l_linenumber <= 5),
+mc AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS edge_id, CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS n FROM {_LINES} WHERE l_linenumber <= 5),
 a AS (SELECT dag, count(*) AS tasks, count(job) AS tasks_with_lineage, count(*) FILTER (src = 'declared') AS declared_tasks FROM j LEFT JOIN linked ON id = job GROUP BY dag),
 b AS (SELECT dag, count(*) FILTER (NOT disc) AS edges, count(*) FILTER (NOT disc AND e.src = 'declared') AS declared_edges, count(*) FILTER (disc) AS discovery_edges, CAST(sum(coalesce(n, 0)) AS BIGINT) AS column_mappings
   FROM e LEFT JOIN mc USING (edge_id) JOIN j ON id = e.job GROUP BY dag),
@@ -143,12 +144,12 @@ def find_dataset(spark, d):
     return catalog.find_dataset(E.datasets(spark, d), "part.77").select("name", "seq")
 
 
-@query("one_hop_upstream", "SELECT 'part.' || l_partkey AS dataset FROM lineitem WHERE l_suppkey = 7")
+@query("one_hop_upstream", f"SELECT 'part.' || l_partkey AS dataset FROM {_LINES} WHERE l_suppkey = 7")
 def one_hop_upstream(spark, d):
     return catalog.upstream_of(E.edges(spark, d), "supplier.7")
 
 
-@query("one_hop_downstream", "SELECT 'supplier.' || l_suppkey AS dataset FROM lineitem WHERE l_partkey = 42")
+@query("one_hop_downstream", f"SELECT 'supplier.' || l_suppkey AS dataset FROM {_LINES} WHERE l_partkey = 42")
 def one_hop_downstream(spark, d):
     return catalog.downstream_of(E.edges(spark, d), "part.42")
 
@@ -255,7 +256,7 @@ def _known(spark, d):
 
 @query(
     "validate_unknown_dataset",
-    """SELECT 'error' AS level, 'E_UNKNOWN_DATASET' AS code, subject, count(*) AS times FROM (SELECT 'part.' || l_partkey AS subject FROM lineitem WHERE l_partkey % 11 = 0 UNION ALL SELECT 'supplier.' || l_suppkey FROM lineitem WHERE l_suppkey % 5 = 0) GROUP BY subject""",
+    f"""SELECT 'error' AS level, 'E_UNKNOWN_DATASET' AS code, subject, count(*) AS times FROM (SELECT 'part.' || l_partkey AS subject FROM {_LINES} WHERE l_partkey % 11 = 0 UNION ALL SELECT 'supplier.' || l_suppkey FROM {_LINES} WHERE l_suppkey % 5 = 0) GROUP BY subject""",
 )
 def validate_unknown_dataset(spark, d):
     return rules.unknown_endpoints(E.edges(spark, d), _known(spark, d)).groupBy("level", "code", "subject").agg(F.count("*").alias("times"))
