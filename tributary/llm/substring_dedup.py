@@ -3,7 +3,7 @@
 Level one asks which windows of half the length occur in two documents at all. It looks at few of
 them: of any run of neighbours that a full window spans, the one with the least hash, so that equal
 full windows look at equal halves. Only what repeats there is extended to the next length, where
-repeats are told by 128 bits; with ``longest`` the doubling goes on until no candidate survives.
+repeats are told by 96 bits; with ``longest`` the doubling goes on until no candidate survives.
 
 What is repeated comes back to the documents as a bit map of bounded size: it only rules out, so one
 that is too full makes later levels look at more, and never lose a repeat.
@@ -147,16 +147,16 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
         if report:
             many = np.maximum.reduceat(later, np.flatnonzero(new))
             k = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(1 + many.astype(np.int32), pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int32)), pa.array(doc[k]), pa.array(1 + many.astype(np.int32), pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
             return
         k = np.flatnonzero(~later)
-        yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k], pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int32)), pa.array(doc[k]), pa.array(pos[k], pa.int32()), pa.nulls(len(k), pa.binary())], ["h1", "h2", "id", "pos", "packed"])
         k = np.flatnonzero(later)
         if len(k):
             docs_, packed = _packed(doc[k], pos[k], h2[k])
             spread = pa.array(mix(docs_.view(np.uint64)).view(np.int64))
             n = len(docs_)
-            yield pa.RecordBatch.from_arrays([spread, pa.array(np.zeros(n, np.int64)), pa.array(docs_), pa.array(np.zeros(n, np.int32)), packed], ["h1", "h2", "id", "pos", "packed"])
+            yield pa.RecordBatch.from_arrays([spread, pa.array(np.zeros(n, np.int32)), pa.array(docs_), pa.array(np.zeros(n, np.int32)), packed], ["h1", "h2", "id", "pos", "packed"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = held.value
@@ -182,7 +182,7 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                h1, h2 = windows(words, length)[0][at], windows(words, length, True)[0][at]
+                h1, h2 = windows(words, length)[0][at], (windows(words, length, True)[0][at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 owner = owners(words.first)[at]
                 parts.append((h1, h2, ids[owner + a], (at - words.first[owner]).astype(np.int64)))
                 if sum(len(p[0]) for p in parts) > SETTLED:
@@ -191,7 +191,7 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
             if parts:
                 yield from settled(parts)
 
-    rows = docs.mapInArrow(emit, "h1 bigint, h2 bigint, id bigint, pos int, packed binary")
+    rows = docs.mapInArrow(emit, "h1 bigint, h2 int, id bigint, pos int, packed binary")
     if report:
         return rows.groupBy("h1", "h2").agg(F.sum("pos").alias("n"), F.count_distinct("id").alias("d")).where("n > 1 and (d > 1 or n > d)").select(F.col("h1").alias("h"))
 
@@ -214,7 +214,7 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
             last = (h1[-1], h2[-1], least[-1])
             k = np.flatnonzero(doc > least)
             if len(k):
-                found.append((doc[k], pos[k].astype(np.int64), h2[k].view(np.uint64)))
+                found.append((doc[k], pos[k].astype(np.int64), h2[k].view(np.uint32)))
             if sum(len(f[0]) for f in found) > 500_000:
                 yield _flush(found)
         if found:
@@ -226,7 +226,7 @@ def _repeats(docs: DataFrame, length: int, half: int, known: BitMap, sampled: bo
 def _packed(doc: np.ndarray, pos: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Per document: (place, check) pairs of 32 bits."""
     order = np.lexsort((pos, doc))
-    doc, pairs = doc[order], np.stack([pos[order].astype(np.uint32), (h2[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1).astype("<u4")
+    doc, pairs = doc[order], np.stack([pos[order].astype(np.uint32), h2[order]], axis=1).astype("<u4")
     cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     ends = np.concatenate([cut, [len(doc)]])
     return doc[cut], pa.array([pairs[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
