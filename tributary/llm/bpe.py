@@ -22,7 +22,7 @@ from .io import table
 
 SHORT = 160
 #: Entries of a generation of a process's memories of space-led units and of words in them.
-UNITS, PIECES = 400_000, 200_000
+UNITS, PIECES = 250_000, 125_000
 _NONE = 1 << 62
 
 #: Letters and numbers of newer Unicode versions than the vocabulary's library knows: other signs to it.
