@@ -225,12 +225,13 @@ def pieces_of(text: Text) -> Pieces:
 
     filled = kind > 0
     starts, ends = runs(filled, filled)
-    odd = np.concatenate([[0], np.cumsum(kind == 3)])
+    odd = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == 3, out=odd[1:])
     mixed = odd[ends] > odd[starts]
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts[mixed]] += 1
     edge[ends[mixed]] -= 1
-    inside = np.cumsum(edge[:-1]) > 0
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
     kind[inside] = 3
     low[inside] = data[inside]
     starts, ends = runs(kind, filled)
@@ -243,6 +244,17 @@ def pieces_of(text: Text) -> Pieces:
     return Pieces(*hashes, starts, ends, kind[starts] == 3, np.searchsorted(starts, text.offsets), low)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and the number of each place's value. No stable sort is needed."""
+    order = np.argsort(x)
+    value = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return value[new], order[new], back
+
+
 class UnitEncoder:
     """The library's ids of whole texts, by pieces that it treats apart.
 
@@ -275,9 +287,9 @@ class UnitEncoder:
         if not held:
             return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
         h1, h2 = (np.concatenate(x) for x in (tuple(p.h1 for p in parts), tuple(p.h2 for p in parts)))
-        keys, at, back = np.unique(h1, return_index=True, return_inverse=True)
+        keys, at, back = _distinct(h1)
         if (h2[at][back] != h2).any():  # two pieces of one hash: tell them by both
-            keys, at, back = np.unique(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+            keys, at, back = _distinct(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)))
         known, old = self.known, self.old
         listed = keys.tolist()
         found = list(map(known.get, listed))
