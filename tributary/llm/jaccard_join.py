@@ -65,10 +65,10 @@ def shingles(text) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(count)), count)
     for d in np.flatnonzero((count > 0) & (count < SHINGLE)):
         a, b = first[d], first[d + 1]
-        x = np.uint64(b - a)
+        x = np.full(1, b - a, np.uint64)
         for w in words.hash[a:b]:
-            x = mix(np.asarray([x * np.uint64(0x9E3779B97F4A7C15) ^ w]))[0]
-        h[a], fits[a] = x, True
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) ^ w)
+        h[a], fits[a] = x[0], True
     h, owner = h[fits], owner[fits]
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
