@@ -44,6 +44,32 @@ def test_rows_and_parts(spark, parts):
     assert D.find_items(docs, bench.limit(0)).count() == 0 == D.find_items(table(spark, []), bench).count()
 
 
+@pytest.mark.parametrize("parts", [D.MAX_INDEX, 200])
+def test_rows_of_words_with_digits(spark, parts):
+    docs = table(spark)
+    bench = spark.createDataFrame([(1, words(40, 3)), (2, words(40, 77)), (1, words(30, 4)), (None, words(30, 5))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0) for r in D.find_items(docs, bench, parts).collect())
+    assert got == [(10, 1), (10, 1), (10, 1), (11, 0), (11, 1), (15, 1)]
+    assert docs.where(D.holds_items(docs.text, bench, parts)).select("doc_id").distinct().count() == 3
+
+
+VERBATIM = [
+    "Who wrote Middlemarch?",
+    "12 + 30 * 4 = 132; 5 * 5 * 5 = 125; 9 - 3 = 6; 18 / 3 = 6",
+    "Then Alice and Bob Brown met Carol and Dave Dunn near Paris with Erin Eames and Frank Fry of New York",
+    "x1 = y2 + z3; if x1 > w4: return q5(x1, y2, z3, w4) else: return p6(z3, w4, y2, x1)",
+    "Кто написал Войну и Мир в Ясной Поляне",
+    "Yes",
+]
+
+
+@pytest.mark.parametrize("item", VERBATIM)
+def test_any_verbatim_copy_is_found(spark, item):
+    for copy in (item, item.lower(), item.upper()):
+        assert found(spark, f"{PROSE}. {copy} {PROSE}.", [(1, item)]) == [(1, "exact")]
+    assert found(spark, PROSE, [(1, item)]) == []
+
+
 def test_query_against_brute_force(spark, sf_dir):
     d = "/root/testdata/sf0.01"
     canon = lambda t: re.findall(r"[^\W_]+", t.lower())

@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders; windows of the canonical words of each benchmark
 item are looked up by hash in every document. Where an item's windows match but its wording doesn't,
-the slots decide: a re-parameterised copy puts the same new value wherever the item repeats one.
+the slots decide: a re-parameterised copy puts the same new value wherever the item repeats one. Runs
+of the words as written, without placeholders and case, are looked up too, so that a verbatim copy is
+found whatever its slots.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from .words import _BYTE, _SPACE, LOWER, Text, Words, _byte_powers, chunks, mix,
 WINDOW, PLAIN = 8, 4
 #: An item is in a document that has so many of its windows (all, if it has fewer) and such a share.
 LEAST_WINDOWS, LEAST_SHARE = 6, 0.3
+#: Words of a literal run; a shorter item is one run.
+RUN = 14
 #: Share of repeated slots that must agree in a copy with other values.
 CONSISTENT = 0.9
-#: Windows of a benchmark that are sent to the executors at once (some 32 bytes each); a larger
-#: benchmark is split by items, and each part is looked up in a pass of its own.
+#: Windows of a benchmark that are sent to the executors at once (some 32 bytes each, and as much for
+#: literal runs); a larger benchmark is split by items, and each part is looked up in a pass of its own.
 MAX_INDEX = 1_000_000
 
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit kelvin hz khz mhz ghz watt watts kw volt volts amp amps joule joules newton newtons pascal pascals byte bytes kb mb gb tb mph kmh".split()
@@ -40,13 +44,37 @@ _punct[:128] = [not (chr(b).isalnum() or _SPACE[b]) for b in range(128)]
 _ender[[ord(c) for c in ".!?:;\n\r"]] = True
 
 
+#: Lower case of the letters that take two or three bytes, where it takes as many.
+_lower = np.arange(1 << 16, dtype=np.uint16)
+for _c in range(0x80, 1 << 16):
+    _l = chr(_c).lower()
+    if len(_l) == 1 and ord(_l) < 1 << 16 and (_c < 0x800) == (0x80 <= ord(_l) < 0x800):
+        _lower[_c] = ord(_l)
+
+
 class Canonical(NamedTuple):
     """words: canonical words and bounds of documents in them; literal: hashes of the words as
-    written, without case and punctuation; slot: which words are placeholders."""
+    written, without case and punctuation; slot: which words are placeholders; spelled: all words,
+    each name of a run by itself, by their literal hashes."""
 
     words: Words
     literal: np.ndarray
     slot: np.ndarray
+    spelled: Words
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case."""
+    low = LOWER[data]
+    two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    if len(two):
+        c = _lower[(data[two] & 0x1F).astype(np.uint16) << 6 | data[two + 1] & 0x3F]
+        low[two], low[two + 1] = 0xC0 | c >> 6, 0x80 | c & 0x3F
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    if len(three):
+        c = _lower[(data[three] & 0x0F).astype(np.uint16) << 12 | (data[three + 1] & 0x3F).astype(np.uint16) << 6 | data[three + 2] & 0x3F]
+        low[three], low[three + 1], low[three + 2] = 0xE0 | c >> 12, 0x80 | c >> 6 & 0x3F, 0x80 | c & 0x3F
+    return low
 
 
 def canonical(text: Text) -> Canonical:
@@ -57,8 +85,7 @@ def canonical(text: Text) -> Canonical:
     if n > 1:
         wide[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     upper = _upper[data]
-    low = LOWER[data]
-    low[wide] += 0x20
+    low = _folded(data)
     if n > 1:
         upper[:-1] |= wide[1:]
     kept = np.flatnonzero(~_punct[data])
@@ -98,7 +125,7 @@ def canonical(text: Text) -> Canonical:
     use = ~again
     place = np.concatenate([[0], np.cumsum(use)])
     slot = number | unit | name
-    return Canonical(Words(at[use], to[use] + 1, place[first], hashes[use]), literal[use], slot[use])
+    return Canonical(Words(at[use], to[use] + 1, place[first], hashes[use]), literal[use], slot[use], Words(at, to + 1, first, literal))
 
 
 _units: list[np.ndarray] = []
@@ -123,8 +150,17 @@ def _template_windows(c: Canonical) -> tuple[np.ndarray, np.ndarray]:
     return hashes, fits
 
 
+class Runs(NamedTuple):
+    """Literal runs of one length, by hash: the item of each; and which low bits of hashes occur."""
+
+    hash: np.ndarray
+    item: np.ndarray
+    low: np.ndarray
+
+
 class Index(NamedTuple):
-    """Windows of some items, by hash: item and place of each; and every item's words."""
+    """Windows of some items, by hash: item and place of each; and every item's words. Literal runs
+    of each length, and their number of each item."""
 
     hash: np.ndarray
     item: np.ndarray
@@ -133,12 +169,21 @@ class Index(NamedTuple):
     total: np.ndarray
     literal: list[np.ndarray]
     slot: list[np.ndarray]
+    runs: dict[int, Runs]
+    run_total: np.ndarray
+
+
+def _runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Literal runs of ``length`` words, of all documents that have so many."""
+    return (words.hash, np.ones(len(words.hash), bool)) if length == 1 else windows(words, length)
 
 
 def index_items(rows: list[tuple]) -> Index:
-    """An index of (item_id, text) rows. Items of fewer words than a window can't be looked up."""
+    """An index of (item_id, text) rows. Items of fewer words than a window have a literal run only,
+    those without words none."""
     column = pa.array([t for _, t in rows], pa.large_string())
     hashes, items, places, literal, slot = [], [], [], [], []
+    runs: dict[int, list] = {}
     for a, b, text in chunks(column):
         c = canonical(text)
         h, fits = _template_windows(c)
@@ -146,6 +191,12 @@ def index_items(rows: list[tuple]) -> Index:
         hashes.append(h[fits])
         items.append(owner[fits] + a)
         places.append((np.arange(len(h)) - c.words.first[owner])[fits])
+        size = np.minimum(np.diff(c.spelled.first), RUN)
+        owner = owners(c.spelled.first)
+        for length in np.unique(size[size > 0]).tolist():
+            h, fits = _runs(c.spelled, length)
+            fits = fits & (size[owner] == length)
+            runs.setdefault(length, []).append((h[fits], owner[fits] + a))
         for k in range(b - a):
             s = slice(c.words.first[k], c.words.first[k + 1])
             literal.append(c.literal[s])
@@ -153,11 +204,52 @@ def index_items(rows: list[tuple]) -> Index:
     h, i, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, places))
     order = np.argsort(h, kind="stable")
     total = np.bincount(i.astype(np.int64), minlength=len(rows))
-    return Index(h[order], i[order].astype(np.int64), p[order].astype(np.int64), [k for k, _ in rows], total, literal, slot)
-
-
-def _found(index: Index, c: Canonical) -> Iterator[tuple[int, int, str, int, int, int]]:
-    """(document, item, kind, windows matched, slots, slots that agree) for a chunk."""
+    by_length, run_total = {}, np.zeros(len(rows), np.int64)
+    for length, found in runs.items():
+        g, j = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(g, kind="stable")
+        low = np.zeros(1 << min(24, max(12, (16 * len(g)).bit_length())), bool)
+        low[g & np.uint64(len(low) - 1)] = True
+        by_length[length] = Runs(g[by], j[by].astype(np.int64), low)
+        run_total += np.bincount(j.astype(np.int64), minlength=len(rows))
+    return Index(h[order], i[order].astype(np.int64), p[order].astype(np.int64), [k for k, _ in rows], total, literal, slot, by_length, run_total)
+
+
+def _found(index: Index, c: Canonical) -> Iterator[tuple[int, int, str, int, int, int, int]]:
+    """(document, item, kind, windows, windows matched, slots, slots that agree) for a chunk."""
+    told = set()
+    for row in _by_template(index, c):
+        told.add(row[:2])
+        yield row
+    for doc, i, matched in _by_runs(index, c.spelled):
+        if (doc, i) not in told:
+            yield doc, i, "exact", int(index.run_total[i]), matched, 0, 0
+
+
+def _by_runs(index: Index, words: Words) -> Iterator[tuple[int, int, int]]:
+    """(document, item, literal runs of the item that the document has)."""
+    owner = owners(words.first)
+    for length, runs in index.runs.items():
+        h, fits = _runs(words, length)
+        at = np.flatnonzero(fits & runs.low[h & np.uint64(len(runs.low) - 1)])
+        lo = np.searchsorted(runs.hash, h[at])
+        equal = runs.hash[np.minimum(lo, len(runs.hash) - 1)] == h[at]
+        at, lo = at[equal], lo[equal]
+        if not len(at):
+            continue
+        # a run that a document repeats counts once
+        doc, lo = np.divmod(np.unique(owner[at] * len(runs.hash) + lo), len(runs.hash))
+        many = np.searchsorted(runs.hash, runs.hash[lo], "right") - lo
+        entry = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs, matched = np.unique(np.repeat(doc, many) * len(index.ids) + runs.item[entry], return_counts=True)
+        for pair, n in zip(pairs.tolist(), matched.tolist()):
+            doc_, i = divmod(pair, len(index.ids))
+            total = int(index.run_total[i])
+            if n >= min(total, max(LEAST_WINDOWS, math.ceil(LEAST_SHARE * total))):
+                yield doc_, i, n
+
+
+def _by_template(index: Index, c: Canonical) -> Iterator[tuple[int, int, str, int, int, int, int]]:
     h, fits = _template_windows(c)
     lo = np.searchsorted(index.hash, h)
     hit = np.flatnonzero(fits & (lo < len(index.hash)) & (index.hash[np.minimum(lo, len(index.hash) - 1)] == h)) if len(index.hash) else np.zeros(0, np.int64)
@@ -182,13 +274,13 @@ def _found(index: Index, c: Canonical) -> Iterator[tuple[int, int, str, int, int
         pairs = np.unique(np.stack([mine, theirs]), axis=1)
         x, y, s = index.literal[i][pairs[0]], c.literal[pairs[1]], index.slot[i][pairs[0]]
         if len(np.unique(pairs[0][x == y])) == len(np.unique(pairs[0])):
-            yield int(doc[a]), i, "exact", matched, int(s.sum()), int(s.sum())
+            yield int(doc[a]), i, "exact", total, matched, int(s.sum()), int(s.sum())
             continue
         values, back = np.unique(x[s], return_inverse=True)
         usual = [np.unique(y[s][back == k], return_counts=True)[1].max() for k in range(len(values))]
         slots, agree = int(s.sum()), int(sum(usual))
         if agree >= CONSISTENT * slots:
-            yield int(doc[a]), i, "reparameterised", matched, slots, agree
+            yield int(doc[a]), i, "reparameterised", total, matched, slots, agree
 
 
 _SCHEMA = "item_id {item}, kind string, n_windows bigint, n_matched bigint, n_slots bigint, n_consistent bigint"
@@ -196,10 +288,12 @@ _SCHEMA = "item_id {item}, kind string, n_windows bigint, n_matched bigint, n_sl
 
 def find_items(docs: DataFrame, benchmark: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
     """A row for each document and benchmark item that it holds, exactly or with other values:
-    doc_id, item_id, kind, n_windows of the item, n_matched of them, n_slots and n_consistent.
+    doc_id, item_id, kind, n_windows of the item, n_matched of them, n_slots and n_consistent. Where
+    only the words as written tell a copy, its windows are literal runs and it has no slots.
 
     Whole texts are looked at, a document in one task, so nothing is shuffled. Null and empty texts
-    hold nothing; neither do items without text or with fewer words than a window. Repeated rows each
+    hold nothing, and items without words are in none. An item of few words, or one, is in each text
+    that has just these next to each other. Repeated rows each
     give their own; an empty table on either side gives an empty result. Other columns aren't read.
     """
     items = benchmark.select("item_id", "text").where("text is not null")
@@ -223,9 +317,9 @@ def _looker(index):
         for batch in batches:
             rows, at = [], []
             for a, _, text in chunks(batch.column(1)):
-                for doc, i, kind, matched, slots, agree in _found(ix, canonical(text)):
+                for doc, i, *rest in _found(ix, canonical(text)):
                     at.append(a + doc)
-                    rows.append((ix.ids[i], kind, int(ix.total[i]), matched, slots, agree))
+                    rows.append((ix.ids[i], *rest))
             columns = [batch.column(0).take(pa.array(at, pa.int64()))]
             kinds = (None, pa.string(), *[pa.int64()] * 4)
             columns += [pa.array([r[k] for r in rows], t) if rows else pa.array([], t or pa.int64()) for k, t in enumerate(kinds)]
