@@ -70,6 +70,15 @@ def test_any_verbatim_copy_is_found(spark, item):
     assert found(spark, PROSE, [(1, item)]) == []
 
 
+@pytest.mark.parametrize("size,part", [(59, 20), (59, 14), (500, 150), (1000, 14)])
+def test_verbatim_passages_of_long_items(spark, size, part):
+    item = words(size, 8).split()
+    for at in (0, size // 3, size - part):
+        passage = " ".join(item[at : at + part])
+        assert found(spark, f"{PROSE}. {passage} {PROSE}.", [(1, " ".join(item))]) == [(1, "exact")]
+        assert found(spark, f"{PROSE}. {' '.join(item[at : at + 13])} {PROSE}.", [(1, " ".join(item))]) == []
+
+
 def test_query_against_brute_force(spark, sf_dir):
     d = "/root/testdata/sf0.01"
     canon = lambda t: re.findall(r"[^\W_]+", t.lower())

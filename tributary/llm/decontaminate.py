@@ -24,7 +24,8 @@ from .words import _BYTE, _SPACE, LOWER, Text, Words, _byte_powers, chunks, mix,
 
 #: Words of a window; of these at least so many that aren't placeholders.
 WINDOW, PLAIN = 8, 4
-#: An item is in a document that has so many of its windows (all, if it has fewer) and such a share.
+#: An item is in a document, with whatever values, that has so many of its windows (all, if it has
+#: fewer) and such a share. One literal run is enough, however long the item.
 LEAST_WINDOWS, LEAST_SHARE = 6, 0.3
 #: Words of a literal run; a shorter item is one run.
 RUN = 14
@@ -243,10 +244,7 @@ def _by_runs(index: Index, words: Words) -> Iterator[tuple[int, int, int]]:
         entry = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         pairs, matched = np.unique(np.repeat(doc, many) * len(index.ids) + runs.item[entry], return_counts=True)
         for pair, n in zip(pairs.tolist(), matched.tolist()):
-            doc_, i = divmod(pair, len(index.ids))
-            total = int(index.run_total[i])
-            if n >= min(total, max(LEAST_WINDOWS, math.ceil(LEAST_SHARE * total))):
-                yield doc_, i, n
+            yield *divmod(pair, len(index.ids)), n
 
 
 def _by_template(index: Index, c: Canonical) -> Iterator[tuple[int, int, str, int, int, int, int]]:
@@ -289,7 +287,8 @@ _SCHEMA = "item_id {item}, kind string, n_windows bigint, n_matched bigint, n_sl
 def find_items(docs: DataFrame, benchmark: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
     """A row for each document and benchmark item that it holds, exactly or with other values:
     doc_id, item_id, kind, n_windows of the item, n_matched of them, n_slots and n_consistent. Where
-    only the words as written tell a copy, its windows are literal runs and it has no slots.
+    only the words as written tell a copy, its windows are literal runs and it has no slots: RUN words
+    in a row of an item of any length, or the whole of a shorter one, are a copy.
 
     Whole texts are looked at, a document in one task, so nothing is shuffled. Null and empty texts
     hold nothing, and items without words are in none. An item of few words, or one, is in each text
