@@ -28,6 +28,32 @@ def test_wording_differences():
     assert found.license == "ISC" and found.added == ("lawful",) and not found.missing
 
 
+HEADER = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the {} as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version. */"""
+
+
+@pytest.mark.parametrize("full,version,license", [("GNU General Public License", "3", "GPL-3.0"), ("GNU General Public License", "2", "GPL-2.0"), ("GNU Lesser General Public License", "2.1", "LGPL-2.1"), ("GNU Affero General Public License", "3", "AGPL-3.0"), ("GNU Library General Public License", "2", None)])
+def test_standard_headers(full, version, license):
+    scanner = L.Scanner()
+    found = [scanner.judge(b) for b in scanner.blocks(HEADER.format(full, version))]
+    assert [f and f.license for f in found] == [license]
+
+
+@pytest.mark.parametrize("license", sorted(L._TEXTS))
+def test_long_blocks_do_not_hide_a_text(license):
+    around = "This software is free for any purpose and the copyright notice is in the documentation of this program. " * 40
+    assert L.Scanner().judge(around + L._TEXTS[license] + " " + around).license == license
+
+
+def test_openings_of_full_texts():
+    for name, (full, version, date) in L._GNU.items():
+        title = f"{full.upper()}\n  Version {version}, {date} Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy"
+        scanner = L.Scanner()
+        assert {f.license for f in map(scanner.judge, scanner.blocks(title)) if f} == {name}
+
+
 def test_every_row_has_a_result(spark):
     got = L.scan_licenses(table(spark)).collect()
     assert len(got) == table(spark).count()
