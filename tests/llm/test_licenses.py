@@ -54,6 +54,30 @@ def test_openings_of_full_texts():
         assert {f.license for f in map(scanner.judge, scanner.blocks(title)) if f} == {name}
 
 
+MANY = [
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", {"MIT", "Apache-2.0"}),
+    ("Licensed under the MIT License and the BSD 3-Clause License.", {"MIT", "BSD-3-Clause"}),
+    ("Licensed under the Mozilla Public License, version 2.0, or the GPLv3 license, or the Eclipse Public License, version 2.0.", {"MPL-2.0", "GPL-3.0", "EPL-2.0"}),
+    ("Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.", {"CC-BY-4.0", "CC-BY-SA-4.0"}),
+    ("Licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+    ("Licensed under the MIT License and nothing that the Apache License, Version 2.0 says holds.", {"MIT"}),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}),
+]
+
+
+@pytest.mark.parametrize("notice,licenses", MANY)
+def test_adjacent_and_dual_notices(spark, notice, licenses):
+    docs = table(spark, [(1, notice, None, None, None, None, None, None, None, None)])
+    assert set(L.scan_licenses(docs).first().licenses) == licenses
+
+
+def test_a_list_of_every_notice():
+    scanner, names = L.Scanner(), {n: s[0] for n, s in L._NAMES.items()}
+    text = "\n".join(f"Licensed under the {s}.".replace("under the CC", "under CC") for s in names.values())
+    assert {f.license for b in scanner.blocks(text) for f in scanner.licenses(b)} == set(names)
+
+
 def test_every_row_has_a_result(spark):
     got = L.scan_licenses(table(spark)).collect()
     assert len(got) == table(spark).count()

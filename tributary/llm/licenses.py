@@ -153,6 +153,37 @@ def _grams() -> tuple[dict, ...]:
     return tuple({t.words[i : i + 4]: i for i in range(len(t.words) - 3)} if not t.key else {} for t in templates())
 
 
+_JOINS = frozenset("or and either both of the a also under dual alternatively at your option terms license licence licenses licences".split())
+
+
+def _joins(words: tuple[str, ...]) -> bool:
+    """Whether the words between two names make one notice of them."""
+    return bool({"or", "and"} & set(words)) and _JOINS.issuperset(words)
+
+
+@cache
+def _spellings() -> dict[str, list[tuple[tuple[str, ...], Template]]]:
+    """Names by their first word, the longest first, each with a template that has it."""
+    out: dict[str, list] = {}
+    for t in templates():
+        if t.text.startswith("licensed under ") and t.text.count(" ") < 12:
+            name = t.words[3 if t.words[2] == "the" else 2 :]
+            out.setdefault(name[0], []).append((name, t))
+    return {w: sorted(found, key=lambda f: -len(f[0])) for w, found in out.items()}
+
+
+def _names_at(words: tuple[str, ...]) -> list[tuple[Template, int, int]]:
+    """Template and bounds of each name, spelled in full, in the words."""
+    out, free = [], 0
+    for i, w in enumerate(words):
+        for name, t in _spellings().get(w, ()):
+            if i >= free and words[i : i + len(name)] == name:
+                out.append((t, i, i + len(name)))
+                free = i + len(name)
+                break
+    return out
+
+
 class Found(NamedTuple):
     license: str
     reduction: float
@@ -168,7 +199,7 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(compression_params=self.params)
         self.trigger = re.compile(TRIGGER)
         self.vocabulary = frozenset(w for t in templates() for w in t.words)
-        self.known: dict[str, Found | None] = {}
+        self.known: dict[str, list[Found]] = {}
 
     def blocks(self, text: str) -> list[str]:
         """Runs of neighbouring sentences or lines that speak mostly in the templates' words and hold a trigger."""
@@ -187,16 +218,34 @@ class Scanner:
         return out
 
     def judge(self, block: str) -> Found | None:
-        """The confirmed template that covers most with the least difference, if one does; the same blocks come again and again."""
+        """The confirmed template that covers most with the least difference, if one does."""
+        return next(iter(self.licenses(block)), None)
+
+    def licenses(self, block: str) -> list[Found]:
+        """What is found at the block's different places, each license once and the best first; the same blocks come again and again."""
         block = " ".join(block.lower().split())
         if block not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            self.known[block] = self._judge(block)
+            self.known[block] = self._licenses(block)
         return self.known[block]
 
-    def _judge(self, block: str) -> Found | None:
-        return max(self._fits(block), key=lambda f: f[:2], default=(0, 0, None))[2]
+    def _licenses(self, block: str) -> list[Found]:
+        words, kept = _words(block), []
+        for _, _, found, a, b in sorted(self._fits(block), key=lambda f: f[:2], reverse=True):
+            if all(b <= c or a >= d or found.license == k.license for k, c, d in kept):
+                kept.append((found, a, b))
+        # names that "and" or "or" joins to a notice share its wording
+        names = [n for n in _names_at(words) if kept and all(n[2] <= c or n[1] >= d for _, c, d in kept)]
+        joined = True
+        while joined:
+            joined = [n for n in names if any(_joins(words[d : n[1]] if n[1] >= d else words[n[2] : c]) for _, c, d in kept)]
+            names = [n for n in names if n not in joined]
+            kept += [(Found(t.license, round(self._reduction(t, words[a:b]), 6), (), ()), a, b) for t, a, b in joined]
+        out: dict[str, Found] = {}
+        for found, _, _ in kept:
+            out.setdefault(found.license, found)
+        return list(out.values())
 
     def _fits(self, block: str) -> list[tuple[int, float, Found, int, int]]:
         """Each template at each place that it fits: words that match less those that differ, reduction,
@@ -268,7 +317,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             rows = []
             for t in batch.column(1):
                 blocks = scanner.blocks(t.as_py()) if t.is_valid else []
-                found = [f for f in map(scanner.judge, blocks) if f]
+                found = [f for b in blocks for f in scanner.licenses(b)]
                 best = max(found, key=lambda f: f.reduction, default=None)
                 rows.append((len(blocks), sorted({f.license for f in found}), best.license if best else None, best.reduction if best else None, list(best.missing) if best else [], list(best.added) if best else []))
             kinds = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
