@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -122,3 +124,17 @@ def test_validation_finds_each_defect(spark):
     j = spark.createDataFrame([(["a", "n"], ["b"])], "inputs array<string>, outputs array<string>")
     got = sorted((r.code, r.subject) for r in rules.validate(datasets, j, e, maps).collect())
     assert got == [("E_DUP_DATASET", "b"), ("E_UNKNOWN_DATASET", "zz"), ("W_COLUMN_ENDPOINT", "c.x"), ("W_JOB_DATASET", "n"), ("W_UNKNOWN_COLUMN", "b.q")]
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_exact_order_beyond_the_drivers_memory(spark, monkeypatch, cyclic):
+    monkeypatch.setattr(graph, "RANK_ROWS", 7)
+    r = random.Random(5)
+    pairs = [tuple(f"n{k}é" if k % 5 else f"N{k}" for k in sorted(r.sample(range(40), 2))) for _ in range(90)] + [("N0", "N0")]
+    pairs += [("n39é", "n38é"), ("n38é", "n39é"), ("n39é", "z")] if cyclic else []
+    want = graph.ranks(pairs)
+    edges = spark.createDataFrame(pairs, "from string, to string")
+    for limit in (0, 1000):
+        got = graph.topological(edges, limit).collect()
+        assert len(got) == len(pairs)
+        assert all((x["rank"].rf, x["rank"].rt) == (want[x["from"]], want[x["to"]]) for x in got)

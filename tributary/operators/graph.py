@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections import defaultdict
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
-#: Edges that the exact order may hold on the driver; the order is sequential by its definition.
-RANK_EDGES = 5_000_000
+#: Edges that the exact order may hold in the driver's memory, more are read from its disk; and rows
+#: that it takes or gives at once.
+RANK_EDGES, RANK_ROWS = 5_000_000, 1_000_000
 
 
 def reachable(edges: DataFrame, start: str | None = None) -> DataFrame:
@@ -79,12 +83,54 @@ def ranks(edges: list[tuple[str, str]]) -> dict[str, int]:
     return rank | {n: cyclic for n in names - set(rank)}
 
 
+def _numbered_ranks(pairs: DataFrame) -> DataFrame:
+    """(node, r) as ``ranks`` has them, for any number of edges: names are numbered in their order by
+    the executors, edges are numbers in a file of the driver, and the driver's memory holds some
+    numbers a node."""
+    spark = pairs.sparkSession
+    links = stored(pairs.where("`from` is not null and `to` is not null"))
+    names = links.select(F.col("from").alias("node")).union(links.select(F.col("to").alias("node"))).distinct()
+    order = stored(names).orderBy("node").rdd.zipWithIndex()
+    ids = stored(spark.createDataFrame(order, "name struct<node: string>, id bigint").select("name.node", "id"))
+    n = ids.count()
+    a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(k)) for c, k in (("from", "a"), ("to", "b")))
+    numbered = stored(links.join(a, "from").join(b, "to").select("a", "b").where("a <> b")).orderBy("a")
+    first, need = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    with tempfile.TemporaryFile() as file:
+        rows = numbered.toLocalIterator()
+        while part := list(islice(rows, RANK_ROWS)):
+            part = np.array(part, np.int64)
+            np.add.at(first, part[:, 0] + 1, 1)
+            np.add.at(need, part[:, 1], 1)
+            part[:, 1].tofile(file)
+        file.flush()
+        np.cumsum(first, out=first)
+        targets = np.memmap(file, np.int64, "r", shape=(int(first[-1]),)) if first[-1] else np.zeros(0, np.int64)
+        ready = np.flatnonzero(need == 0).tolist()  # sorted, so a heap
+        rank, done = np.full(n, -1, np.int64), 0
+        while ready:
+            k = heapq.heappop(ready)
+            rank[k] = done
+            done += 1
+            out = np.asarray(targets[first[k] : first[k + 1]])
+            need[out] -= 1
+            for m in out[need[out] == 0].tolist():
+                heapq.heappush(ready, m)
+        del targets
+    rank[rank < 0] = done
+    places = None
+    for k in range(0, max(n, 1), RANK_ROWS):
+        part = stored(spark.createDataFrame([(k + i, r) for i, r in enumerate(rank[k : k + RANK_ROWS].tolist())], "id bigint, r bigint"))
+        places = part if places is None else places.union(part)
+    return ids.join(places, "id").select("node", "r")
+
+
 def topological(edges: DataFrame, limit: int = RANK_EDGES) -> DataFrame:
     """``edges`` with ``rank``, their place in the exact order (rank of from, rank of to, from, to).
 
     The rule that the least ready name goes next can't be spread over tasks; distinct edges up to
-    ``limit`` are ranked on the driver, and more are ordered by ``levels`` and name instead, which is
-    a valid order too.
+    ``limit`` are ranked in the driver's memory, and more are numbered by the executors and ranked
+    from the driver's disk, in the same order.
     """
     pairs = edges.select("from", "to").distinct()
     spark = edges.sparkSession
@@ -92,6 +138,6 @@ def topological(edges: DataFrame, limit: int = RANK_EDGES) -> DataFrame:
         found = ranks([(r["from"], r["to"]) for r in pairs.collect()])
         places = spark.createDataFrame(list(found.items()) or [], "node string, r bigint")
     else:
-        places = levels(edges).select("node", F.coalesce("level", F.lit(1 << 30)).cast("bigint").alias("r"))
+        places = _numbered_ranks(pairs)
     j = edges.join(places.select(F.col("node").alias("from"), F.col("r").alias("rf")), "from").join(places.select(F.col("node").alias("to"), F.col("r").alias("rt")), "to")
     return j.select("*", F.struct("rf", "rt", "from", "to").alias("rank")).drop("rf", "rt")
