@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -36,8 +37,46 @@ def test_short_and_long_words_merge_alike():
 
 
 def test_memory_of_two_generations():
-    m = bpe._Memory(str.upper, 3)
-    assert [m[c] for c in "abcdabe"] == list("ABCDABE") and len(m) <= 3
+    m = bpe._Memory(3)
+    for c in "abcdae":
+        if m.known(c) is None:
+            m.keep_all({c: c.upper()})
+    assert m.known("a") == "A" and m.known("e") == "E" and m.known("z") is None and len(m.young) <= 4 and len(m.old) <= 4
+
+
+def test_words_merged_as_rows_and_one_by_one():
+    mine, r = bpe.vocabulary(PATH), random.Random(9)
+    words = ["".join(r.choice("aethinoslé") for _ in range(r.randrange(1, 12))) for _ in range(3000)] + ["x" * 300, "q" * 161, "a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.merge_many(words)] == [mine.merge(w.encode()) for w in words]
+    assert mine.merge_many([]) == []
+
+
+def test_many_texts_with_small_memories(library, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        mine = bpe.ByteBpe(json.load(f))
+    mine.pieces.size = mine.spaced.size = 5
+    r = random.Random(10)
+    for _ in range(60):
+        texts = [None if r.random() < 0.1 else "".join(r.choice([*SIGNS, " and", " of,", " x1", "don't "]) for _ in range(r.randrange(20))) for _ in range(30)]
+        want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        got = mine.encode_many(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+        assert mine.decode_many(got) == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert mine.encode_many([]) == [] == mine.decode_many([])
+
+
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_vocabulary_files_are_left_to_the_library(change, tmp_path):
+    with open(PATH if change else public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f) | change
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    mine, other = bpe.vocabulary(str(tmp_path / "v.json")), Tokenizer.from_file(str(tmp_path / "v.json"))
+    assert isinstance(mine, bpe.LibraryBpe)
+    texts = ["Some Words, and SOME more", None, "", " a  b\n12 don't"]
+    want = [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = mine.encode_many(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want and [np.frombuffer(mine.encode(t), "<u4").tolist() for t in texts] == want
+    assert mine.decode_many(got) == [other.decode(x, skip_special_tokens=False) for x in want]
 
 
 def test_rows(spark, library):
