@@ -1,6 +1,9 @@
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tributary.llm import components as C
 from tributary.llm import jaccard_join as J
 
@@ -53,6 +56,69 @@ def test_against_brute_force(spark, open_at, monkeypatch):
     assert result(J.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("exact,mapped", [(3, 10**8), (3, 0)])
+def test_many_ids_and_pivots(spark, exact, mapped, monkeypatch):
+    """Beyond some hashes bit maps are used, beyond some ids a join; the result stays."""
+    for name, value in (("OPEN", 2), ("EXACT_HASHES", exact), ("MAPPED_IDS", mapped)):
+        monkeypatch.setattr(J, name, value)
+    docs = table(spark).repartition(3)
+    assert result(J.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_ids_are_spread_over_the_map(spark, monkeypatch):
+    monkeypatch.setattr(J, "EXACT_HASHES", 1000)
+    classes = spark.range(0, 200_000, 2).select(F.col("id").alias("rep"))
+    _, wanted = J._rows_with(spark.createDataFrame([], "doc_id long, text string"), classes)
+    assert wanted.map is not None
+    inside, outside = (wanted.has(J._mixed(pa.array(range(k, 200_000, 2), pa.int64()))) for k in (0, 1))
+    assert inside.all() and outside.mean() < 0.1
+    spread = J._mixed(pa.array(range(10_000), pa.int64())) >> np.uint64(56)
+    assert len(set(spread.tolist())) > 200
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_classes_that_share_a_key(spark, bits, monkeypatch):
+    monkeypatch.setattr(J, "CLASS_BITS", bits)
+    monkeypatch.setattr(J, "OPEN", 2)
+    docs = table(spark).repartition(2)
+    assert result(J.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    rows = [(1, words(60, 1)), (2, words(60, 1)), (3, words(50, 2)), (4, words(50, 3))]
+    assert sorted(r.doc_id for r in J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3, 4]
+
+
+def test_hot_pivots_are_told_over_a_whole_task(spark, monkeypatch):
+    """Few rows of a pivot come in each batch, many in the task: one row stands for the rest."""
+    monkeypatch.setattr(J, "OPEN", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(i, 9, [7, 1000 + i]) for i in range(1, 400)]
+        df = spark.createDataFrame(rows, "cid long, n int, win array<long>").coalesce(1)
+        found = J._regions(df).collect()
+        assert {(r.a, r.b) for r in found} == {(7, None)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+
+
+def test_voronoi_cells_of_a_region():
+    """Every similar pair meets in some cell, with one of both at home; most pairs meet in none."""
+    texts, cells = [], []
+    for g in range(12):
+        base = words(120, 200 + g).split()
+        for k in range(9):
+            # neighbours of all distances: each some words further from the group's first
+            texts.append(" ".join([*base[: 120 - 6 * k], *words(6 * k, 300 + 10 * g + k).split()]))
+        texts += [" ".join([*base[:110], *words(10, 900 + 10 * g + k).split()]) for k in range(6)]
+    members = []
+    for _, _, text in J.chunks(pa.array(texts, pa.large_string())):
+        h, bounds = J.shingles(text)
+        members = [(i, True, h[x:y]) for i, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+    whole = set(zip(*J._exact(members)))
+    for cell in (4, 16):
+        cells = list(J._cells(members, cell))
+        assert len(cells) > 5 and {p for part in cells for p in zip(*J._exact(part))} == whole
+    assert len(whole) > 50 and sum(len(c) ** 2 for c in cells) < len(members) ** 2 / 2
+
+
 def chain():
     """A crowd of near copies, each some words further from the first, with a passage all share."""
     base, rows = words(300, 50).split(), []

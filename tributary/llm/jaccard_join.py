@@ -9,10 +9,10 @@ Rows with equal sets are one class. Two kinds of pivots cut the space into regio
     that hold an open pivot enter the next round. Each pair is thus proposed, or both of its sets
     stay open.
 2.  Sets. Each group that proposals connect, and each that open pivots do, is a region to be joined
-    exactly. A small one is joined in a task. A large one is cut into the Voronoi cells of some of its sets; a
-    set goes to its own cell and, by the triangle inequality, to each that is nearer than its own
-    plus twice the radius. Cells are cut again until they are small; one that doesn't shrink is
-    joined by blocks.
+    exactly. It is cut into the Voronoi cells of some of its sets; a set goes to its own cell and, by
+    the triangle inequality, to each that is nearer than its own plus twice the radius. Cells are cut
+    again until few sets are left, which are compared. A large region is cut by all executors, a
+    small one within a task; one that doesn't shrink is joined by blocks, or at once in the task.
 
 Distances of whole texts are too alike for pivots of the second kind alone: most are exactly 1.
 """
@@ -35,6 +35,10 @@ from .words import chunks, mix, relax, windows, words_of
 
 #: Hashes that are sent around as they are (8 bytes each); more go into a bit map of bounded size.
 EXACT_HASHES = 1_000_000
+#: Rows that are looked for by such a set of their ids; more are found by a join with these.
+MAPPED_IDS = 100_000_000
+#: Bits of a class's key; where two classes have one key, both get another.
+CLASS_BITS = 64
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that the windows of two similar sets share, at least.
@@ -43,6 +47,8 @@ SHARED = 3
 OPEN, ROUNDS = 64, 6
 #: Sets, and shingles, of a region that one task joins; pivots of a larger one.
 REGION_SETS, REGION_SHINGLES, PIVOTS = 4_000, 1_500_000, 24
+#: Sets of a cell that are compared with each other.
+CELL = 16
 _PAIRS = 400_000
 
 
@@ -77,13 +83,13 @@ def shingles(text) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(owner[new], np.arange(len(count) + 1))
 
 
-def _fingerprints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set: two sums of mixed hashes, with its size."""
+def _fingerprints(h: np.ndarray, bounds: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set: two sums of mixed hashes, with its size. Of the first, ``bits`` count."""
     out = []
     for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt) * (h | np.uint64(1)), dtype=np.uint64)])
         out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
-    return out[0], out[1]
+    return out[0] & np.uint64((1 << bits) - 1), out[1]
 
 
 def _ragged(values: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -101,7 +107,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for a, b, text in chunks(batch.column(1)):
                 h, bounds = shingles(text)
                 n = np.diff(bounds)
-                f1, f2 = _fingerprints(h, bounds)
+                f1, f2 = _fingerprints(h, bounds, CLASS_BITS)
                 columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _ragged(h, bounds, window(n))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "win"])
         relax()
@@ -134,48 +140,76 @@ class _All:
         return np.ones(len(x), bool)
 
 
+class Keys:
+    """Keys of classes: 64 bits of the fingerprint, but for classes that have these in common."""
+
+    def __init__(self, torn: dict[tuple[int, int], int]) -> None:
+        self.torn, self.shared = torn, np.asarray(sorted({f1 for f1, _ in torn}), np.int64)
+
+    def __call__(self, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+        keys, f2 = f1.view(np.int64).copy(), f2.view(np.int64)
+        if self.torn:
+            for i in np.flatnonzero(np.isin(keys, self.shared)):
+                keys[i] = self.torn.get((int(keys[i]), int(f2[i])), keys[i])
+        return keys
+
+
 def _rows_of(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
     """The rows whose doc_id may be wanted: known before any word is looked at."""
-    ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return batch.filter(pa.array(wanted.has(ids.view(np.uint64))))
+    return batch.filter(pa.array(wanted.has(_mixed(batch.column(0)))))
 
 
-def _windows_again(docs: DataFrame, wanted: HashSet, last: HashSet) -> DataFrame:
+def _mixed(ids: pa.Array) -> np.ndarray:
+    """doc_ids, spread over all 64-bit values: as they are, they would share their leading bits."""
+    return mix(ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _windows_again(docs: DataFrame, wanted: HashSet, last: HashSet, keys: Keys) -> DataFrame:
     """cid, n and window of the wanted rows' sets, with the shingles of ``last`` behind all others."""
-    held = docs.sparkSession.sparkContext.broadcast((wanted, last))
+    held = docs.sparkSession.sparkContext.broadcast((wanted, last, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted_, last_ = held.value
+        wanted_, last_, keys_ = held.value
         for batch in batches:
             for _, _, text in chunks(_rows_of(batch, wanted_).column(1)):
                 h, bounds = shingles(text)
                 n = np.diff(bounds)
                 order = np.lexsort((h, last_.has(h), np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, bounds)[0].view(np.int64)), pa.array(n, pa.int32()), _ragged(h[order], bounds, window(n))], ["cid", "n", "win"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_(*_fingerprints(h, bounds, CLASS_BITS))), pa.array(n, pa.int32()), _ragged(h[order], bounds, window(n))], ["cid", "n", "win"])
         relax()
 
     return docs.mapInArrow(run, "cid bigint, n int, win array<bigint>")
 
 
-def _whole_sets(docs: DataFrame, wanted: HashSet) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: HashSet, keys: Keys) -> DataFrame:
     """cid and all shingles, as bytes, of the wanted rows' sets."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    held = docs.sparkSession.sparkContext.broadcast((wanted, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_, keys_ = held.value
         for batch in batches:
-            for _, _, text in chunks(_rows_of(batch, held.value).column(1)):
+            for _, _, text in chunks(_rows_of(batch, wanted_).column(1)):
                 h, bounds = shingles(text)
                 items = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, bounds)[0].view(np.int64)), pa.array(items, pa.binary())], ["cid", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_(*_fingerprints(h, bounds, CLASS_BITS))), pa.array(items, pa.binary())], ["cid", "item"])
         relax()
 
     return docs.mapInArrow(run, "cid bigint, item binary")
 
 
-def _ids(classes: DataFrame) -> HashSet:
-    """The representatives of some classes."""
-    ids = stored(classes.select(F.coalesce(F.col("rep").cast("bigint"), F.lit(-1)).alias("h")).distinct())
-    return HashSet(ids, ids.count())
+def _rows_with(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, HashSet | _All]:
+    """Where the representatives of some classes are: rows, and the set of those to look at there."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0)).view(np.int64))], ["h"])
+
+    ids = stored(classes.select(F.col("rep").cast("bigint").alias("rep")).distinct())
+    n = ids.count()
+    if n <= MAPPED_IDS:
+        return docs, HashSet(ids.mapInArrow(spread, "h bigint"), n)
+    found = docs.join(ids.where("rep is not null"), F.col("doc_id").cast("bigint") == F.col("rep"), "left_semi")
+    return found if ids.where("rep is null").isEmpty() else found.union(docs.where("doc_id is null")), _All()
 
 
 def least_shared(n, m):
@@ -220,11 +254,18 @@ def _first_of(tok: np.ndarray, cid: np.ndarray) -> np.ndarray:
 
 def _regions(tokens: DataFrame) -> DataFrame:
     """From rows (cid, n, win): proposals (a, b, k, need), k a count of shared pivots, and open pivots
-    (a = tok, b null). A task that meets a pivot more than OPEN times sends one row for all."""
+    (a = tok, b null). A task that meets a pivot many times sends one row for all others of its sets:
+    it counts pivots in buckets, and those of full buckets one by one."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.zeros(0, np.int64)
+        many, sent = np.zeros(0, np.int64), np.zeros(1 << 17, np.int64)
+        full, suspects, seen = np.zeros(1 << 20, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
+            # copies of a set that this task has sent lately
+            place = (batch.column(0).to_numpy().view(np.uint64) & np.uint64(len(sent) - 1)).astype(np.int64)
+            cid = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((sent[place] != cid) | (cid == 0)))
+            sent[place] = cid
             lists, cid, n = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sizes = np.diff(lists.offsets.to_numpy())
             tok = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
@@ -237,11 +278,22 @@ def _regions(tokens: DataFrame) -> DataFrame:
             tok, cid, n = tok[once], cid[once], n[once]
             start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([start, [len(tok)]]))
-            big = start[size > OPEN]
+            bucket = (tok[start].view(np.uint64) & np.uint64(len(full) - 1)).astype(np.int64)
+            np.add.at(full, bucket, size.astype(np.int32))
+            watch = full[bucket] > OPEN
+            suspects, at = np.unique(np.concatenate([suspects, tok[start][watch]]), return_inverse=True)
+            seen = np.bincount(at, np.concatenate([seen, size[watch]]), len(suspects)).astype(np.int64)
+            hot = seen > OPEN
+            big = np.concatenate([suspects[hot], tok[start][size > OPEN]])
             if len(big):
-                many = np.union1d(many, tok[big])
-                rest = ~np.isin(tok, tok[big])
-                yield pa.RecordBatch.from_arrays([pa.array(tok[big]), pa.nulls(len(big), pa.int64()), pa.array(np.zeros(len(big), np.int32))], ["tok", "cid", "n"])
+                big = np.unique(big)
+                many, suspects, seen = np.union1d(many, big), suspects[~hot], seen[~hot]
+            if len(suspects) > len(full):  # of a very large task; forgotten pivots are counted anew
+                often = seen > np.median(seen)
+                suspects, seen = suspects[often], seen[often]
+            if len(big):
+                rest = ~np.isin(tok, big)
+                yield pa.RecordBatch.from_arrays([pa.array(big), pa.nulls(len(big), pa.int64()), pa.array(np.zeros(len(big), np.int32))], ["tok", "cid", "n"])
                 tok, cid, n = tok[rest], cid[rest], n[rest]
             yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(cid, pa.int64()), pa.array(n, pa.int32())], ["tok", "cid", "n"])
 
@@ -330,10 +382,40 @@ def _exact(members: list[tuple[int, bool, np.ndarray]]) -> tuple[list[int], list
     return a_out, b_out
 
 
+def _cells(members: list[tuple[int, bool, np.ndarray]], cell: int) -> Iterator[list[tuple[int, bool, np.ndarray]]]:
+    """The region of ``members`` as cells of at most ``cell`` sets, or of more where pivots part no further."""
+    k = len(members)
+    if k <= cell:
+        yield members
+        return
+    items = [m[2] for m in members]
+    tok, bounds = np.concatenate(items), np.cumsum([0, *map(len, items)])
+    sizes, pivots = np.diff(bounds), np.unique(np.linspace(0, k - 1, min(PIVOTS, -(-2 * k // cell))).astype(int))
+    d = np.ones((k, len(pivots)))
+    for q, p in enumerate(pivots.tolist()):
+        x = items[p]
+        shared = np.concatenate([[0], np.cumsum(x[np.minimum(np.searchsorted(x, tok), len(x) - 1)] == tok)])[bounds]
+        shared = np.diff(shared)
+        d[:, q] = 1 - shared / (sizes + len(x) - shared)
+    radius, least, home = 1 - PERCENT / 100, d.min(axis=1), d.argmin(axis=1)
+    near = (d <= least[:, None] + 2 * radius + 1e-9) & (d < 1)
+    parts = [np.flatnonzero(near[:, q]) for q in range(len(pivots))] + [np.flatnonzero(least >= 1 - radius - 1e-9)]
+    if max(map(len, parts)) > 0.8 * k or sum(map(len, parts)) > 3 * k:
+        yield members
+        return
+    for q, part in enumerate(parts):
+        far = q == len(pivots)
+        yield from _cells([(members[i][0], members[i][1] and (far or int(home[i]) == q), items[i]) for i in part.tolist()], cell)
+
+
 def _join_region(t: pa.Table) -> pa.Table:
     # rows of one set may come more than once
     members = {c: (c, o, np.frombuffer(s, np.uint64)) for c, o, s in zip(*(t.column(k).to_pylist() for k in ("cid", "own", "item")))}
-    a, b = _exact(list(members.values()))
+    a: list[int] = []
+    b: list[int] = []
+    for part in _cells(list(members.values()), CELL):
+        for found, more in zip((a, b), _exact(part)):
+            found += more
     if t.num_rows > 200:
         relax()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -409,11 +491,15 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows' sets (doc_id, n, f1, f2), classes (cid, f1, f2, n, rep, mult), and the similar pairs of
-    different classes (a, b), a below b. A class goes by the first 64 bits of its fingerprint."""
+    different classes (a, b), a below b. A class is told by 128 bits, and goes by 64 of its own."""
     docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs))
-    classes = stored(sets.groupBy("f1", "f2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("mult")).withColumn("cid", F.col("f1")))
-    now, still_open, hot, pairs = sets.where("n > 0").select(F.col("f1").alias("cid"), "n", "win"), None, None, None
+    classes, keys = _classes(sets)
+    cid = F.col("f1")
+    if keys.torn:
+        own = F.create_map(*[F.lit(x) for (f1, f2), k in keys.torn.items() for x in (f"{f1},{f2}", k)])
+        cid = F.coalesce(own[F.concat_ws(",", "f1", "f2")], cid)
+    now, still_open, hot, pairs = sets.where("n > 0").select(cid.alias("cid"), "n", "win"), None, None, None
     for _ in range(ROUNDS):
         found = stored(_regions(now))
         # a pair whose shared pivots are all closed here is counted in full; others meet again
@@ -429,8 +515,8 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if hot is not None and fresh.join(hot, "tok", "left_anti").isEmpty():
             break
         hot = stored(fresh if hot is None else hot.union(fresh).distinct())
-        again = _ids(classes.join(still_open, "cid", "left_semi"))
-        now = stored(_windows_again(docs, again, HashSet(hot, hot.count())))
+        rows, again = _rows_with(docs, classes.join(still_open, "cid", "left_semi"))
+        now = stored(_windows_again(rows, again, HashSet(hot, hot.count()), keys))
     else:
         fresh = None  # rounds are used up: what is left is connected by any pivot
     groups = components(pairs).select(F.concat(F.lit("g"), F.col("root").cast("string")).alias("region"), F.col("node").alias("cid"))
@@ -438,7 +524,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         dense = components(_stars(now.join(still_open, "cid", "left_semi"), _All() if fresh is None else HashSet(fresh, n_open)))
         groups = groups.union(dense.select(F.concat(F.lit("d"), F.col("root").cast("string")), "node"))
     groups = stored(groups.join(classes.select("cid", "n", "rep"), "cid"))
-    items = _whole_sets(docs, _ids(groups))
+    items = _whole_sets(*_rows_with(docs, groups), keys)
     size = groups.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     large = stored(size.where((F.col("sets") > REGION_SETS) | (F.col("total") > REGION_SHINGLES)).select("region"))
     member = lambda g: items.join(g.select("region", "cid"), "cid").select("region", "cid", F.lit(True).alias("own"), "item")
@@ -448,6 +534,20 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sets.select("doc_id", "n", "f1", "f2"), classes, stored(links.distinct())
 
 
+def _classes(sets: DataFrame) -> tuple[DataFrame, Keys]:
+    """Classes (cid, f1, f2, n, rep, mult). One exchange by 64 bits; it also tells which classes share
+    these, of 10 billion some three pairs. Those are grouped by 128 bits, with new keys."""
+    found = stored(sets.groupBy("f1").agg(F.min("f2").alias("f2"), F.max("f2").alias("other"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("mult")))
+    whole = found.where("f2 = other").select(F.col("f1").alias("cid"), "f1", "f2", "n", "rep", "mult")
+    torn = found.where("f2 <> other").select("f1")
+    if torn.isEmpty():
+        return whole, Keys({})
+    apart = sets.join(F.broadcast(torn), "f1", "left_semi").groupBy("f1", "f2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
+    apart = stored(apart.select(F.xxhash64("f1", "f2").alias("cid"), "f1", "f2", "n", "rep", "mult"))
+    keys = Keys({(r.f1, r.f2): r.cid for r in apart.select("f1", "f2", "cid").collect()})
+    return stored(whole.unionByName(apart)), keys
+
+
 def _stars(now: DataFrame, opened: HashSet) -> DataFrame:
     """Edges (a, b) that connect all sets which hold the same open pivot: each with the first of its
     batch, and those with the first of all. So a pivot sends a row for a batch, however many hold it."""
@@ -542,7 +642,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         out = []
         for _, _, text in chunks(pa.array(texts, pa.large_string(), from_pandas=True)):
             h, bounds = shingles(text)
-            f1, f2 = _fingerprints(h, bounds)
+            f1, f2 = _fingerprints(h, bounds, CLASS_BITS)
             out.append(pd.DataFrame({"f1": f1.view(np.int64), "f2": f2.view(np.int64), "n": np.diff(bounds)}))
         return pd.concat(out) if out else pd.DataFrame({"f1": [], "f2": [], "n": []})
 
