@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from tributary.llm import substring_dedup as S
 
@@ -26,19 +27,51 @@ def brute(rows, length=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("map_bytes", [S.MAX_MAP_BYTES, 128])
-def test_against_brute_force(spark, map_bytes, monkeypatch):
-    monkeypatch.setattr(S, "MAX_MAP_BYTES", map_bytes)
-    monkeypatch.setattr(S, "SETTLED", 50)
+@pytest.mark.parametrize("map_bytes,hot", [(S.MAX_MAP_BYTES, 16), (128, 2)])
+def test_against_brute_force(spark, map_bytes, hot, monkeypatch):
+    """With maps that are too small, what repeats comes back by joins."""
+    for name, value in (("MAX_MAP_BYTES", map_bytes), ("SETTLED", 50), ("HOT", hot)):
+        monkeypatch.setattr(S, name, value)
     docs = table(spark).repartition(3)
     assert Counter(tuple(r) for r in S.digest_documents(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert S.digest_documents(table(spark, [])).count() == 0
 
 
-def test_full_maps_lose_nothing(spark):
+def _places(df):
+    return sorted(map(tuple, df.selectExpr("id", "aggregate(packed, 0L, (s, x) -> s + length(x))").collect()))
+
+
+def test_every_way_finds_the_same_windows(spark, monkeypatch):
+    """Full maps, joins, and levels from two words on lose nothing."""
     docs = table(spark).select("doc_id", "text")
-    few, full = (S.repeated_windows(docs, max_map_bytes=n).selectExpr("id", "aggregate(packed, 0L, (s, x) -> s + length(x))").collect() for n in (S.MAX_MAP_BYTES, 128))
-    assert sorted(map(tuple, few)) == sorted(map(tuple, full))
+    want = _places(S.repeated_windows(docs))
+    for bytes_, least, start in ((128, 0, None), (128, 4, None), (128, 4, 4), (S.MAX_MAP_BYTES, 4, 2)):
+        monkeypatch.setattr(S, "LEAST_BITS", least)
+        assert _places(S.repeated_windows(docs, max_map_bytes=bytes_, start=start)) == want
+
+
+def test_levels_of_the_query(spark):
+    docs = table(spark).select("doc_id", "text")
+    assert S.level_sizes(13) == [7, 13] and S.level_sizes(13, 2) == [2, 4, 8, 13] and S.level_sizes(50, 13) == [13, 26, 50] and S.level_sizes(1) == [1, 1]
+    found = [(x.size, x.n) for x in S.levels(docs, S.level_sizes(13, 2))]
+    held = Counter()
+    for length in (4, 8, 13):
+        at = {}
+        for r in docs.collect():
+            w = (r.text or "").encode().split()
+            for k in range(len(w) - length + 1):
+                at.setdefault(tuple(w[k : k + length]), set()).add(r.doc_id)
+        held[length] = sum(len(d) > 1 for d in at.values())
+    assert [x[0] for x in found] == [2, 4, 8, 13] and dict(found[1:]) == held
+
+
+def test_a_task_remembers_hot_windows():
+    m = S._Memory()
+    h, c = np.asarray([5, 9], np.uint64), np.asarray([1, 2], np.uint32)
+    assert m.least_of(h, c, np.asarray([4, 4])).tolist() == [4, 4]
+    m.keep(h[:1], c[:1], np.asarray([3]))
+    m.keep(h, c, np.asarray([2, 8]))
+    assert m.least_of(h, c, np.asarray([4, 4])).tolist() == [2, 4] and m.least_of(h, c[::-1], np.asarray([4, 9])).tolist() == [4, 9]
 
 
 def test_texts_change_and_columns_stay(spark):

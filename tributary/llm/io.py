@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 from ..storage import scratch_uri, stored
 
-__all__ = ["ready", "scratch_uri", "stored", "table"]
+__all__ = ["integer_ids", "ready", "scratch_uri", "stored", "table"]
 
 #: Rows and bytes of the batches that go to Python: whole texts may be long, and executors small.
 BATCH_ROWS, BATCH_BYTES = 2_500, 16 << 20
@@ -23,6 +23,12 @@ def ready(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def integer_ids(docs: DataFrame) -> None:
+    """Raises a TypeError unless doc_id is an integer column, for operators that need its order."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("doc_id must be an integer")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
