@@ -7,10 +7,10 @@ next, against what the dictionary saved at all, is the score.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,25 +29,32 @@ BLOCK = 32 << 10
 #: A text whose score is below this is rejected, as is one without a letter.
 MIN_MARGIN = 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def learn(docs: DataFrame, label: str = "lang", documents: int = SAMPLE_DOCUMENTS) -> dict[str, bytes]:
     """A dictionary for each non-null ``label``, from the ``documents`` rows of each whose hashed
     doc_id is least; the most frequent label comes first. Rows without text or letters teach
-    nothing; no rows, no languages."""
-    rows = docs.select("doc_id", "text", F.col(label).alias("lang")).where("lang is not null and doc_id is not null and text rlike '\\\\p{L}'")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= documents).select("doc_id", "lang").distinct()
-    ids = chosen.collect()  # at most documents x languages
-    if not ids:
-        return {}
+    nothing; no rows, no languages.
+
+    Labels are counted first, without the texts; these tell below which hash some four times as many
+    rows lie, so that few of the texts go further than their scan. A label that yields too few, for
+    want of letters, is asked again with more."""
+    held = {r.lang: r["count"] for r in docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().collect()}
+    share, cuts = {lang: 4 * documents / n for lang, n in held.items()}, {}
+    h, order = F.xxhash64("doc_id"), W.partitionBy("lang").orderBy("h", "doc_id", "cut")
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    sample = rows.where(F.col("doc_id").isin([r.doc_id for r in ids])).select("doc_id", "lang", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("cut")).distinct()
-    cuts: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id, r.cut)):
-        cuts.setdefault(r.lang, []).append(r.cut)
-    held = {r.lang: r["count"] for r in docs.groupBy(F.col(label).alias("lang")).count().collect()}
+    asked = list(held)
+    while asked:
+        bounds = F.create_map(*[F.lit(x) for lang in asked for x in (lang, min((1 << 63) - 1, int(min(1.0, share[lang]) * (1 << 64)) - (1 << 63)))])
+        rows = docs.select("doc_id", "text", F.col(label).alias("lang"), h.alias("h")).where(F.col("doc_id").isNotNull() & F.col("lang").isin(asked) & (F.col("h") <= bounds[F.col("lang")]) & F.col("text").rlike("\\p{L}"))
+        cut = rows.select("lang", "h", "doc_id", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("cut")).distinct()
+        found: dict[str, list] = {}
+        for r in cut.withColumn("k", F.row_number().over(order)).where(F.col("k") <= documents).collect():  # at most documents x languages
+            found.setdefault(r.lang, []).append((r.doc_id, r.cut))
+        cuts |= {lang: [c for _, c in sorted(x)] for lang, x in found.items()}
+        asked = [lang for lang in asked if len(found.get(lang, ())) < documents and share[lang] < 1]
+        share = {lang: 32 * f for lang, f in share.items()}
     return {lang: "\n".join(cuts[lang]).lower().encode()[-DICTIONARY_BYTES:] for lang in sorted(cuts, key=lambda x: (-held[x], x))}
 
 
@@ -86,10 +93,11 @@ class Judge:
 
 def judged(text: Column, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> Column:
     """A struct of lang_pred, score and rejected for each text, compressed whole."""
+    shipped = SparkSession.active().sparkContext.broadcast(dictionaries)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        by_text = Judge(dictionaries)
+        by_text = Judge(shipped.value)
         for texts in batches:
             found = [by_text(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[0] == UNDETERMINED or f[1] < min_margin for f in found]})
