@@ -16,10 +16,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import table
+from .io import stored, table
 from .words import _BYTE, _SPACE, LOWER, Text, Words, _byte_powers, chunks, mix, owners, windows
 
 #: Words of a window; of these at least so many that aren't placeholders.
@@ -295,21 +296,30 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_index: int = MAX_INDEX
     that has just these next to each other. Repeated rows each
     give their own; an empty table on either side gives an empty result. Other columns aren't read.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    # every word has a character and a gap, so this bounds the windows of a part
-    parts = max(1, math.ceil(size / 2 / max_index))
     kinds = {f.name: f.dataType.simpleString() for f in (docs.schema["doc_id"], benchmark.schema["item_id"])}
     schema = f"doc_id {kinds['doc_id']}, " + _SCHEMA.format(item=kinds["item_id"])
     found = None
-    for part in range(parts):
-        rows = sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()), key=lambda r: (r[0] is not None, r))
-        index = docs.sparkSession.sparkContext.broadcast(index_items(rows))
+    for index, more in _indexes(benchmark, max_index):
         one = docs.select("doc_id", "text").mapInArrow(_looker(index), schema)
+        if more or found is not None:
+            one = stored(one)
+            index.destroy()
         found = one if found is None else found.unionAll(one)
     return found
 
 
+def _indexes(benchmark: DataFrame, max_index: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The index of each part of the benchmark, sent to the executors, and whether another follows. A
+    part's rows are fetched when its turn comes, so the driver holds one part, however many there are."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # every word has a character and a gap, so this bounds the windows of a part
+    parts = max(1, math.ceil(size / 2 / max_index))
+    for part in range(parts):
+        rows = sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()), key=lambda r: (r[0] is not None, r))
+        yield benchmark.sparkSession.sparkContext.broadcast(index_items(rows)), part < parts - 1
+
+
 def _looker(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -339,17 +349,14 @@ def _judge(index):
     return judge
 
 
-def holds_items(text: Column, benchmark: DataFrame, max_index: int = MAX_INDEX) -> Column:
-    """A boolean column over ``text``: whether it holds an item of ``benchmark`` (see find_items)."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts, out = max(1, math.ceil(size / 2 / max_index)), F.lit(False)
-    for part in range(parts):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
-        index = benchmark.sparkSession.sparkContext.broadcast(index_items(rows))
-
-        out = out | _judge(index)(text)
-    return out
+def without_items(docs: DataFrame, benchmark: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose text holds no item (see find_items)."""
+    for index, more in _indexes(benchmark, max_index):
+        docs = docs.where(~_judge(index)(F.col("text")))
+        if more:
+            docs = stored(docs)
+            index.destroy()
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
