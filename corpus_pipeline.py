@@ -35,7 +35,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item, neither as written nor with other values."""
     ready(spark)
-    return docs.where(~decontaminate.holds_items(F.col("text"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
