@@ -20,6 +20,8 @@ from .io import table
 
 #: Largest pickled index that is sent to the executors; longer lists are joined instead.
 MAX_INDEX_BYTES = 32 << 20
+#: Tasks that share the URLs of one token when rules are joined.
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -150,14 +152,16 @@ def filter_urls(pages: DataFrame, hosts: Iterable[HostRule] = HOST_RULES, patter
 
 def _filter_by_join(kept: DataFrame, filed: list[tuple[str, Compiled]], default: str) -> DataFrame:
     """The same over a rule table of any length: distinct (host, path) explode to tokens, fetch
-    rules by a join that Spark lays out, and keep the best by its order."""
+    rules by a join that Spark lays out, and keep the best by its order. A token that many URLs hold,
+    and rules without one, meet them in SALTS tasks: each rule is there as often, each URL once."""
     spark = kept.sparkSession
     rows = [(t, "\x00".join([str(r.order[0]), f"{r.order[1]:09d}", f"{r.order[2]:09d}", str(int(r.order[3])), r.order[4]]), r.text, r.verdict, r.regex.replace(r"\Z", r"\z")) for t, r in filed]
     rules = spark.createDataFrame(rows, "token string, rank string, rule string, verdict string, regex string")
     urls = kept.select("host", "path").distinct().withColumn("at", F.concat("host", "path"))
     tokens = urls.withColumn("token", F.explode(F.array_distinct(F.split(F.lower("at"), "[^a-z0-9]+", -1))))
-    tokens = tokens.unionByName(urls.withColumn("token", F.lit(""))).distinct()
-    fits = tokens.join(rules, "token").where("at rlike concat('(?s)', regex)")
+    tokens = tokens.unionByName(urls.withColumn("token", F.lit(""))).distinct().withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
+    rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = tokens.join(rules, ["token", "salt"]).where("at rlike concat('(?s)', regex)")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), "rank").alias("b"))
     return kept.join(best, ["host", "path"], "left").select(*kept.columns, F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
