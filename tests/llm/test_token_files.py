@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zlib
 
@@ -70,6 +71,24 @@ def test_units_give_the_library_ids(library):
             assert library.encode(t or "", add_special_tokens=False).ids == x.tolist(), repr(t)
 
 
+@pytest.mark.parametrize("name,whole", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True), ("changed", True)])
+def test_other_vocabulary_files_are_left_to_the_library(name, whole, tmp_path):
+    path = PATH
+    if name == "changed":  # letters and signs no longer part
+        with open(PATH, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+        path = str(tmp_path / "v.json")
+        (tmp_path / "v.json").write_text(json.dumps(spec))
+    elif whole:
+        path = public_tokenizers.path(name)
+    encoder, other = T.encoder_of(path), Tokenizer.from_file(path)
+    assert isinstance(encoder, T.WholeEncoder) == whole
+    texts = ["Some Words, and SOME more!!", None, "", " a  b\n12 don't", "x, y"]
+    ids, bounds = encoder(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def expected(library, rows):
     start, out = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

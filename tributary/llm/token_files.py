@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import scratch_uri, table
+from .io import integer_ids, scratch_uri, table
 from .words import _BYTE, _BYTE2, LOWER, Text, _byte_powers, chunks, mix
 
 BLOCK, PERCENTILE = 1024, 0.98
@@ -345,7 +345,52 @@ class UnitEncoder:
         return out
 
 
-_encoders: dict[str, UnitEncoder] = {}
+class WholeEncoder:
+    """The library's ids of whole texts, for any vocabulary file."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation(), self.library.no_padding()
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)
+        ids = [np.asarray(e.ids, "<u4") for e in found]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
+
+
+#: What ``pieces_of`` knows of a file: white space is dropped, signs part from letters, case from neither.
+_NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_by_pieces(spec: dict) -> bool:
+    """Whether a vocabulary file normalises and splits so that a text's ids are those of its pieces."""
+    normal, split, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in normal.get("normalizers", ())]
+    first, *rest = split.get("pretokenizers") or [{}]
+    return (
+        steps == _NORMALIZER and normal["normalizers"][1].get("content") == " " and spec["post_processor"] is None
+        and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        and len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
+        and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        and all(set("'<|>") & set(t["content"]) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    )
+
+
+def encoder_of(path: str) -> UnitEncoder | WholeEncoder:
+    """The encoder of a vocabulary file, made once per process."""
+    if path not in _encoders:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _encoders[path] = UnitEncoder(path) if parts_by_pieces(spec) else WholeEncoder(path)
+    return _encoders[path]
+
+
+_encoders: dict[str, UnitEncoder | WholeEncoder] = {}
 
 
 #: Text bytes whose units are looked up at once.
@@ -361,20 +406,18 @@ def _filesystem(uri: str):
 def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) -> list[dict]:
     """Writes the ids of every whole text, each with ``end_id`` after it, below ``uri``.
 
-    Documents are in ascending doc_id over all parts (null first; rows that share a doc_id by text);
+    Documents are in ascending doc_id (an integer, else a TypeError) over all parts (null first; rows that share a doc_id by text);
     repeated rows are written as often as they come; null and empty texts are an end id alone. One
     shuffle, by ranges of doc_id; each range is a part. A task's file has a name of its own, and
     only files that succeeded come into ``manifest.json``, so tasks may be lost and run again.
     Returns the manifest: uri, first doc_id, documents, ids and start of each part.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    integer_ids(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = UnitEncoder(path)
         # the encoder makes millions of small objects and no cycles: scans for those only cost
         gc.disable()
-        encoder = _encoders[path]
+        encoder = encoder_of(path)
         end, writer, first, target = np.asarray([end_id], "<u4"), None, None, ""
         for batch in batches:
             for a, b, _ in chunks(batch.column(1), _SLICE):
@@ -392,7 +435,6 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) ->
 
     # a sorted range follows another; the exchange's pieces may be merged, but only with neighbours
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    assert kind in ("bigint", "int", "smallint", "tinyint"), "doc_id must be an integer"
     parts = [r.asDict() for r in ordered.mapInArrow(run, "uri string, first bigint, docs bigint, ids bigint").collect()]  # one row per part
     parts.sort(key=lambda p: (p["first"] is not None, p["first"] or 0))
     start = 0
