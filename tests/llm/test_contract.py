@@ -1,5 +1,7 @@
 import importlib
 
+import pytest
+
 from tributary.llm import queries
 
 COLUMNS = {
@@ -26,3 +28,17 @@ def test_columns(spark, sf_dir):
         want = next((c for p, c in COLUMNS.items() if name.startswith(p)), None)
         if want:
             assert query(spark, sf_dir).dtypes[: len(want)] == want, name
+
+
+def test_ids_that_are_no_integers(spark):
+    """Operators that need the order of doc_ids say so; the others take any."""
+    from tributary.llm import bpe, fingerprint, jaccard_join, lang_id, substring_dedup, token_files
+
+    docs = spark.createDataFrame([("a", "some words", "en"), ("b", None, "en")], "doc_id string, text string, lang string")
+    for ordered in (substring_dedup.digest_documents, substring_dedup.without_repeats, jaccard_join.similar_documents, fingerprint.compare_neighbours, lambda d: token_files.write_token_files(d, "", "")):
+        with pytest.raises(TypeError):
+            ordered(docs)
+    import public_tokenizers
+
+    assert bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 2 == fingerprint.fingerprint_documents(docs).count()
+    assert lang_id.predict(docs, lang_id.learn(docs)).count() == 2

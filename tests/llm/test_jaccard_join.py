@@ -56,10 +56,11 @@ def test_against_brute_force(spark, open_at, monkeypatch):
     assert result(J.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("exact,mapped", [(3, 10**8), (3, 0)])
-def test_many_ids_and_pivots(spark, exact, mapped, monkeypatch):
-    """Beyond some hashes bit maps are used, beyond some ids a join; the result stays."""
-    for name, value in (("OPEN", 2), ("EXACT_HASHES", exact), ("MAPPED_IDS", mapped)):
+@pytest.mark.parametrize("exact,mapped,rounds", [(3, 10**8, J.ROUNDS), (3, 0, 1)])
+def test_many_ids_and_pivots(spark, exact, mapped, rounds, monkeypatch):
+    """Beyond some hashes bit maps are used, beyond some ids a join, and beyond some rounds what is left
+    open is joined as it is; the result stays."""
+    for name, value in (("OPEN", 2), ("EXACT_HASHES", exact), ("MAPPED_IDS", mapped), ("ROUNDS", rounds)):
         monkeypatch.setattr(J, name, value)
     docs = table(spark).repartition(3)
     assert result(J.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])

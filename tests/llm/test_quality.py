@@ -25,6 +25,37 @@ def test_few_or_equal_labels():
     assert Q.fit(np.ones((5, 2)), np.ones(5), ["a", "b"]).bias > 1
 
 
+def by_hand(text, model):
+    """The score of one text, statistics and rules in plain Python."""
+    import math
+    import re
+    import unicodedata
+
+    t = text or ""
+    words, lines = re.split(r"[ \t-\r]+", t), t.split("\n")
+    kind = [unicodedata.category(c) for c in t]
+    n = max(1, len(t))
+    stats = {
+        "chars": len(t), "words": len(words), "word_length": len(t) / len(words), "distinct_words": len(set(words)) / len(words), "lines": len(lines), "distinct_lines": len(set(lines)) / len(lines),
+        "words_per_line": len(words) / len(lines), "upper": kind.count("Lu") / n, "digits": sum(c in "0123456789" for c in t) / n,
+        "signs": sum(not (k[0] in "LN" or c in " \t\n\x0b\f\r.,") for c, k in zip(t, kind)) / n, "sentence_ends": len(re.findall(r"[.!?](?=[ \t\n\x0b\f\r]|\Z)", t)) / len(words),
+    }
+    total = model.bias + sum(r.weight for r in model.rules if all((stats[k] > at) == above for k, above, at in r.conditions))
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_by_hand(spark):
+    """A learned model's column against the same model in plain Python, on whole texts of two tables."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.learn(docs, labels.where(~Q.held_out(F.col("doc_id"))))
+    assert model.rules and any(len(r.conditions) > 1 for r in model.rules)
+    both = docs.select("doc_id", "text").union(table(spark).where("doc_id <> 14").select("doc_id", "text"))
+    texts = {(r.doc_id, i): r.text for i, r in enumerate(both.collect())}
+    want = sorted(((d, round(by_hand(t, model), 9)) for (d, _), t in texts.items()), key=str)
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in Q.score(both, model).collect()), key=str) == want
+
+
 def test_every_row_gets_a_score(spark):
     docs = table(spark)
     model = Q.Model(-0.5, (Q.Rule((("words", True, 5.0), ("signs", False, 0.2)), 1.5),))

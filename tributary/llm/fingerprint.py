@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import stored, table
+from .io import integer_ids, stored, table
 from .words import _BYTE, _BYTE2, _byte_powers, mix
 
 WINDOW, SIGNS, LEAST_BLOCK = 7, 64, 4
@@ -188,13 +188,15 @@ def _runs(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id and _FIELDS of each document against its edit and the next one by descending doc_id.
+    """doc_id and _FIELDS of each document against its edit and the next one by descending doc_id (an
+    integer, else a TypeError).
 
     Null doc_ids come last, rows that share a doc_id are ordered by text (null first), and the first
     follows the last; a single row follows itself. Null texts are as empty: two empty fingerprints
     are equal, so their likeness is 1. One shuffle, by ranges of doc_id; only the first and the last
     text of each range are carried over its border.
     """
+    integer_ids(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f.split(" ")[0] for f in _FIELDS.split(", ")]
 

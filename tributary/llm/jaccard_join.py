@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import components
-from .io import stored, table
+from .io import integer_ids, stored, table
 from .substring_dedup import bit_map
 from .words import chunks, mix, relax, windows, words_of
 
@@ -490,8 +490,9 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows' sets (doc_id, n, f1, f2), classes (cid, f1, f2, n, rep, mult), and the similar pairs of
+    """Of documents with integer doc_ids (else a TypeError): rows' sets (doc_id, n, f1, f2), classes (cid, f1, f2, n, rep, mult), and the similar pairs of
     different classes (a, b), a below b. A class is told by 128 bits, and goes by 64 of its own."""
+    integer_ids(docs)
     docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs))
     classes, keys = _classes(sets)
