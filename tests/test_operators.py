@@ -42,7 +42,7 @@ def test_ranks_are_a_priority_order(pairs):
 def test_ranks_prefer_small_names_and_put_cycles_last():
     assert graph.ranks([("b", "d"), ("a", "d"), ("c", "a")]) == {"b": 0, "c": 1, "a": 2, "d": 3}
     r = graph.ranks([("x", "y"), ("y", "x"), ("a", "x"), ("s", "s")])
-    assert r["a"] == 0 and r["s"] == 1 and r["x"] == r["y"] == 2
+    assert r["a"] == 0 and r["s"] == r["x"] == r["y"] == 1  # a loop is a cycle
 
 
 def test_reachability_and_levels_on_a_graph_with_a_cycle(spark):
@@ -80,15 +80,18 @@ def test_gate_of_an_empty_document(spark):
     j = spark.createDataFrame([], "id string, dag string, source string")
     e = spark.createDataFrame([], "edge_id long, job string, source string, column_discovery boolean")
     r = gate.metrics(j, e, spark.createDataFrame([], "edge_id long")).first()
-    assert (r.coverage, r.annotation_coverage, r.high_confidence_fraction) == (0.0, 0.0, 1.0)
+    assert (r.task_coverage, r.annotation_coverage, r.high_confidence_fraction) == (0.0, 0.0, 1.0)
 
 
 def test_edges_of_unknown_jobs_count_for_default(spark):
     j = spark.createDataFrame([("d.t", "d", "declared")], "id string, dag string, source string")
     e = spark.createDataFrame([(1, None, "declared", False), (2, "gone", "inferred_sql", True)], "edge_id long, job string, source string, column_discovery boolean")
-    got = {r.dag: r for r in gate.metrics_by_dag(j, e, spark.createDataFrame([(1,), (1,)], "edge_id long")).collect()}
-    assert got["default"].edges == 1 and got["default"].discovery_edges == 1 and got["default"].tasks == 0 and got["default"].column_mappings == 2
-    assert got["d"].coverage == 0.0 and got["d"].high_confidence_fraction == 1.0
+    got = {r.dag: r for r in gate.metrics_by_dag(j, e, spark.createDataFrame([(1,), (1,), (1,), (2,)], "edge_id long")).collect()}
+    # mappings of discovery edges alone count
+    assert got["default"].edges_total == 1 and got["default"].column_edges == 1 and got["default"].tasks_total == 0 and got["default"].column_mappings == 1
+    same = gate.metrics_by_dag(j, e.withColumn("n_mappings", F.when(F.col("edge_id") == 1, 3).otherwise(1))).collect()
+    assert {r.dag: r for r in same} == got
+    assert got["d"].task_coverage == 0.0 and got["d"].high_confidence_fraction == 1.0
 
 
 def test_declared_duplicates_stay_and_block_the_rest(spark):
@@ -138,3 +141,23 @@ def test_exact_order_beyond_the_drivers_memory(spark, monkeypatch, cyclic):
         got = graph.topological(edges, limit).collect()
         assert len(got) == len(pairs)
         assert all((x["rank"].rf, x["rank"].rt) == (want[x["from"]], want[x["to"]]) for x in got)
+
+
+def test_levels_and_self_loops(spark):
+    """A node that leads to itself is a cycle: it and what is behind it have no level and the last rank."""
+    pairs = [("a", "a"), ("a", "b"), ("b", "c"), ("x", "y"), ("x", "z"), ("y", "z"), ("z", "c")]
+    edges = spark.createDataFrame([*pairs, ("x", "y"), (None, "q")], "from string, to string")
+    assert dict(map(tuple, graph.levels(edges).collect())) == {"a": None, "b": None, "c": None, "x": 0, "y": 1, "z": 2}
+    assert graph.ranks(pairs) == {"x": 0, "y": 1, "z": 2, "a": 3, "b": 3, "c": 3}
+    for limit in (0, 100):
+        got = {(r["from"], r["to"]): (r["rank"].rf, r["rank"].rt) for r in graph.topological(spark.createDataFrame(pairs, "from string, to string"), limit).collect()}
+        assert got["a", "a"] == (3, 3) and got["a", "b"] == (3, 3) and got["x", "y"] == (0, 1) and got["z", "c"] == (2, 3)
+
+
+def test_edge_ids_are_unique_and_ordered(spark):
+    from tributary.plans.encodings import _edge_id
+
+    keys = [(1, 1, 150000, 7), (1, 2, 50000, 7), (1_200_000_000, 7, 20_000_000_000, 1_000_000_000), (600_000_000_000, 7, 20_000_000_000, 999_999_999), (1, 1, 1, 10_000), (1, 1, 2, 0)]
+    df = spark.createDataFrame(keys, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").select("*", _edge_id().alias("id"))
+    rows = df.orderBy("id").collect()
+    assert len({r.id for r in rows}) == len(keys) and [tuple(r)[:4] for r in rows] == sorted(keys)

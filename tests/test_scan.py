@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 
 import pytest
@@ -130,6 +131,18 @@ def loop(): pass
     assert len(d["jobs"]) == 4 and any(x["code"] == "W_NON_LITERAL" for x in d["diagnostics"])
 
 
+def test_texts_beyond_what_is_sent(spark, tmp_path, monkeypatch):
+    """Constants and lineage that lie in files give what those sent around give."""
+    (tmp_path / "v.py").write_text(PIPELINE)
+    (tmp_path / "names.py").write_text('RAW = "s.d.p.raw"\nALIAS = RAW\n')
+    (tmp_path / "job.py").write_text('from names import ALIAS as SRC\n@lineage(inputs=[SRC], outputs=["s.d.p.out"])\ndef good(): pass\n')
+    want = S.scan_path(spark, str(tmp_path)).as_dict()
+    monkeypatch.setattr(S, "MAX_TEXT", 20)
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    got = S.scan_path(spark, str(tmp_path)).as_dict()
+    assert got == want and any(e["from"] == "s.d.p.raw" for e in got["edges"]) and len(got["jobs"]) == 4
+
+
 def test_bad_files_give_diagnostics(spark, tmp_path):
     (tmp_path / "a.py").write_text("def (:\n")
     (tmp_path / "b.py").write_bytes(b"\xff\xfe\x00")
@@ -240,8 +253,13 @@ def test_gate_command(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "v.py").write_text(PIPELINE)
     assert cli.main(["gate", "--repo-path", str(tmp_path), "--json", "--min-coverage", "1.0"]) == 0
     out = json.loads(capsys.readouterr().out)
-    assert out["passed"] and out["metrics"]["coverage"] == 1.0 and out["metrics"]["annotation_coverage"] == 0.0 and out["per_dag"][0]["dag"] == "visits"
+    assert out["passed"] and out["tasks_total"] == 3 and out["task_coverage"] == 1.0 and out["annotation_coverage"] == 0.0 and out["edges_total"] == 3 and out["high_confidence_edges"] == 0
+    assert out["thresholds"] == {"min_task_coverage": 1.0, "min_annotation_coverage": 0.0, "min_high_confidence": 0.0} and out["checks"] == dict.fromkeys(("task_coverage", "annotation_coverage", "high_confidence_fraction"), True)
+    assert out["per_dag"][0]["dag"] == "visits" and out["per_dag"][0]["column_edges"] == 0 == out["per_dag"][0]["column_mappings"]
     assert cli.main(["gate", "--repo-path", str(tmp_path), "--min-annotation-coverage", "0.5"]) == 1
+    text = capsys.readouterr().out
+    assert "gate: FAIL" in text and "[PASS] task_coverage" in text and "[FAIL] annotation_coverage 0.000 >= 0.500 (min)" in text
+    assert cli.main(["gate", "--repo-path", str(tmp_path), "--format", "json", "--min-task-coverage", "0.5"]) == 0 and json.loads(capsys.readouterr().out)["passed"]
     monkeypatch.setenv("GATE_MIN_ANNOTATION_COVERAGE", "0.5")
     assert cli.main(["gate", "--repo-path", str(tmp_path)]) == 1
     assert cli.main(["gate", "--repo-path", str(tmp_path), "--min-annotation-coverage", "0"]) == 0
@@ -251,18 +269,20 @@ def test_gate_command(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["gate", "--repo-path", str(tmp_path / "none")]) == 2
 
 
-def test_git_snapshot(tmp_path):
+def test_git_snapshot(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q")
     (tmp_path / "a.py").write_text("x = 1\n")
     run("add", ".")
     run("-c", "user.name=n", "-c", "user.email=e@x", "commit", "-qm", "m")
     (tmp_path / "a.py").write_text("x = 2\n")
-    made = S.git_snapshot(str(tmp_path), "HEAD")
+    made = S.git_snapshot(spark, str(tmp_path), "HEAD")
     assert open(f"{made}/a.py").read() == "x = 1\n"
-    S.remove(made)
+    assert len(S.scan_path(spark, made).as_dict()["diagnostics"]) == 0
+    S.remove(spark, made)
+    assert not os.path.exists(made)
     with pytest.raises(subprocess.CalledProcessError):
-        S.git_snapshot(str(tmp_path), "nothing")
+        S.git_snapshot(spark, str(tmp_path), "nothing")
 
 
 def test_commands(spark, tmp_path, capsys, monkeypatch):

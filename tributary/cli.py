@@ -100,11 +100,11 @@ def cmd_gate(args) -> int:
     try:
         if args.git_ref:
             try:
-                path = made = S.git_snapshot(args.repo_path, args.git_ref)
+                path = made = S.git_snapshot(session(), args.repo_path, args.git_ref)
             except Exception as e:
                 print(f"no snapshot of {args.git_ref}: {e}", file=sys.stderr)
                 return 2
-        if not os.path.exists(path):
+        if not made and not os.path.exists(path):
             print(f"no such path: {path}", file=sys.stderr)
             return 2
         doc = S.scan_path(session(), path)
@@ -113,18 +113,26 @@ def cmd_gate(args) -> int:
         total = gate.metrics(jobs, edges, doc.column_edges.select("edge_id"))
         row = total.first().asDict()
         checks = [r.asDict() for r in gate.verdict(total, *limits).collect()]
-        dags = [r.asDict() for r in gate.metrics_by_dag(jobs, edges, doc.column_edges.select("edge_id")).orderBy("dag").collect()]
+        dags = [r.asDict() for r in gate.metrics_by_dag(jobs, edges, doc.column_edges.select("edge_id")).orderBy("dag").collect()]  # a row a DAG
     finally:
         if made:
-            S.remove(made)
+            S.remove(session(), made)
     passed = all(c["passed"] for c in checks)
-    if args.json:
-        print(json.dumps({"passed": passed, "metrics": row, "checks": checks, "per_dag": dags}, indent=2))
-    else:
-        for k, v in row.items():
-            print(f"{k:28} {v:.3f}" if isinstance(v, float) else f"{k:28} {v}")
-        for c in checks:
-            print(f"{'PASS' if c['passed'] else 'FAIL'} {c['check']}: {c['actual']:.3f} >= {c['threshold']:.3f}")
+    mark = lambda ok: "PASS" if ok else "FAIL"
+    if args.json or args.format == "json":
+        named = {"min_" + c["check"].removesuffix("_fraction"): c["threshold"] for c in checks}
+        print(json.dumps(row | {"thresholds": named, "checks": {c["check"]: c["passed"] for c in checks}, "passed": passed, "per_dag": dags}, indent=2))
+        return int(not passed)
+    for k, v in row.items():
+        print(f"  {k:25} {v:.3f}" if isinstance(v, float) else f"  {k:25} {v}")
+    for d in dags:
+        shares = ", ".join(f"{k} {d[k]:.3f}" for k in ("task_coverage", "annotation_coverage", "high_confidence_fraction"))
+        print(f"    {d['dag']}: {shares} of {d['tasks_total']} tasks and {d['edges_total']} edges; {d['column_edges']} column edges, {d['column_mappings']} mappings")
+    for c in checks:
+        print(f"  [{mark(c['passed'])}] {c['check']} {c['actual']:.3f} >= {c['threshold']:.3f} (min)")
+        if not c["passed"]:
+            print(f"gate failed: {c['check']} {c['actual']:.3f} < min {c['threshold']:.3f}", file=sys.stderr)
+    print(f"gate: {mark(passed)}")
     return int(not passed)
 
 
@@ -161,7 +169,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--repo-path", default=".")
     a.add_argument("--git-ref")
     a.add_argument("--json", action="store_true")
-    for o in ("--min-coverage", "--min-annotation-coverage", "--min-high-confidence"):
+    a.add_argument("--format", choices=("text", "json"), default="text")
+    a.add_argument("--min-task-coverage", "--min-coverage", dest="min_coverage", type=float)
+    for o in ("--min-annotation-coverage", "--min-high-confidence"):
         a.add_argument(o, type=float)
     a.set_defaults(run=cmd_gate)
     return p

@@ -15,7 +15,7 @@ from ..storage import stored
 
 #: Edges that the exact order may hold in the driver's memory, more are read from its disk; and rows
 #: that it takes or gives at once.
-RANK_EDGES, RANK_ROWS = 5_000_000, 1_000_000
+RANK_EDGES, RANK_ROWS = 200_000, 200_000
 
 
 def reachable(edges: DataFrame, start: str | None = None) -> DataFrame:
@@ -42,33 +42,35 @@ def reachable(edges: DataFrame, start: str | None = None) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a node without inputs; nodes on or behind a cycle have a
-    null level. A level-wise peeling: a node is placed once all of its inputs are."""
-    links = stored(edges.select("from", "to").distinct())
-    nodes = stored(links.select(F.col("from").alias("node")).union(links.select(F.col("to").alias("node"))).distinct())
-    left, placed, level = links, None, 0
-    rest = nodes
+    null level. A level-wise peeling: nodes without open inputs are placed, and what they lead to has as
+    many fewer. A level joins the frontier alone with the edges, and writes what is left once."""
+    links = stored(edges.select("from", "to").where("`from` is not null and `to` is not null").distinct())
+    need = links.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("need"))
+    nodes = links.select(F.col("from").alias("node")).union(links.select(F.col("to").alias("node"))).distinct()
+    state = stored(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")))
+    placed, level = None, 0
     while True:
-        ready = stored(rest.join(left.select(F.col("to").alias("node")).distinct(), "node", "left_anti").select("node"))
+        ready = state.where("need = 0").select("node")
         if ready.isEmpty():
             break
         here = ready.withColumn("level", F.lit(level))
         placed = here if placed is None else placed.union(here)
-        rest = stored(rest.join(ready, "node", "left_anti"))
-        left = stored(left.join(ready.withColumnRenamed("node", "from"), "from", "left_anti").select("from", "to"))
+        met = links.join(ready.withColumnRenamed("node", "from"), "from").groupBy(F.col("to").alias("node")).agg(F.count("*").alias("met"))
+        state = stored(state.where("need > 0").join(met, "node", "left").select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
         level += 1
-    stuck = rest.withColumn("level", F.lit(None).cast("int"))
+    stuck = state.select("node", F.lit(None).cast("int").alias("level"))
     return stuck if placed is None else placed.union(stuck)
 
 
 def ranks(edges: list[tuple[str, str]]) -> dict[str, int]:
-    """Topological ranks where the least ready name goes first; cyclic nodes come last, by name."""
+    """Topological ranks where the least ready name goes first. Nodes on a cycle or behind one share
+    the last rank; an edge from a node to itself is a cycle."""
     out, need = defaultdict(list), defaultdict(int)
     names = set()
     for a, b in set(edges):
         names |= {a, b}
-        if a != b:
-            out[a].append(b)
-            need[b] += 1
+        out[a].append(b)
+        need[b] += 1
     ready = [n for n in names if not need[n]]
     heapq.heapify(ready)
     rank: dict[str, int] = {}
@@ -94,7 +96,7 @@ def _numbered_ranks(pairs: DataFrame) -> DataFrame:
     ids = stored(spark.createDataFrame(order, "name struct<node: string>, id bigint").select("name.node", "id"))
     n = ids.count()
     a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(k)) for c, k in (("from", "a"), ("to", "b")))
-    numbered = stored(links.join(a, "from").join(b, "to").select("a", "b").where("a <> b")).orderBy("a")
+    numbered = stored(links.join(a, "from").join(b, "to").select("a", "b")).orderBy("a")
     first, need = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
     with tempfile.TemporaryFile() as file:
         rows = numbered.toLocalIterator()

@@ -47,22 +47,28 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edge_id() -> Column:
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    """Order, line, part and supplier as digits of one number, each with room for any key."""
+    out = F.col("l_orderkey").cast("decimal(13,0)")
+    for name, digits in (("l_linenumber", 1), ("l_partkey", 12), ("l_suppkey", 11)):
+        out = (out * F.lit(10**digits).cast("decimal(13,0)")).cast("decimal(38,0)") + F.col(name).cast("decimal(13,0)")
+    return out.cast("decimal(38,0)")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """An edge per order line: edge_id, from, to, job, source, origin, column_discovery (returned lines)."""
+    """An edge per order line: edge_id, from, to, job, source, origin, column_discovery (returned lines),
+    and the number of its ``column_edges``."""
     l = lines(spark, d).join(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     src = source_of(F.col("o_orderstatus"))
     return l.select(
         _edge_id().alias("edge_id"), _key("part.", "l_partkey").alias("from"), _key("supplier.", "l_suppkey").alias("to"), _key("o", "l_orderkey").alias("job"), src.alias("source"),
         origin(src, None).alias("origin"), (F.col("l_returnflag") == "R").alias("column_discovery"), F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_linestatus") == "O", 3).otherwise(2).alias("n_mappings"),
     )
 
 
 def column_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Mappings of each line: price from price and discount, quantity from quantity, and, where the
-    line is still open, a count without sources."""
+    """Mappings of each line: price from price and discount, quantity from quantity (found in code, if
+    the line is shipped), and, where the line is still open, a count without sources."""
     l = lines(spark, d)  # noqa: E741
     part, supplier = _key("part.", "l_partkey"), _key("supplier.", "l_suppkey")
     ref = lambda ds, c: F.struct(ds.alias("dataset"), F.lit(c).alias("column"))
@@ -72,8 +78,8 @@ def column_edges(spark: SparkSession, d: str) -> DataFrame:
         mapping(0, F.array(ref(part, "price"), ref(part, "discount")), "revenue", "transformation"), mapping(1, F.array(ref(part, "quantity")), "quantity", "identity"), mapping(2, none, "n_lines", "aggregation")
     )
     rows = F.filter(rows, lambda m: (m["ordinal"] < 2) | (F.col("l_linestatus") == "O"))
-    out = l.where(F.col("l_linenumber") <= 5).select(_edge_id().alias("edge_id"), F.explode(rows).alias("m")).select("edge_id", "m.*")
-    return out.withColumn("origin", origin(F.when(F.col("ordinal") == 1, "inferred_code").otherwise("declared"), None))
+    out = l.select(_edge_id().alias("edge_id"), (F.col("l_linestatus") == "F").alias("shipped"), F.explode(rows).alias("m")).select("edge_id", "shipped", "m.*")
+    return out.withColumn("origin", origin(F.when((F.col("ordinal") == 1) & F.col("shipped"), "inferred_code").otherwise("declared"), None)).drop("shipped")
 
 
 def datasets(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .encodings import read
 
@@ -13,12 +12,14 @@ RATES = {"USD": 1.00, "EUR": 1.08, "GBP": 1.27, "THB": 0.028}
 
 def bronze(spark: SparkSession, d: str) -> DataFrame:
     """The first event of each user and type, cast (INSERT ... SELECT over a numbered derived table)."""
-    read(spark, d, "events").createOrReplaceTempView("landing_events")
-    return spark.sql("""
+    return spark.sql(
+        """
         SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS STRING) AS customer_name, CAST(value AS DECIMAL(12, 2)) AS amount,
                CASE event_type WHEN 'click' THEN 'USD' WHEN 'view' THEN 'EUR' WHEN 'signup' THEN 'GBP' WHEN 'purchase' THEN 'THB' ELSE 'XXX' END AS currency, ts AS event_ts
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM landing_events)
-        WHERE rn = 1""")
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM {events})
+        WHERE rn = 1""",
+        events=read(spark, d, "events"),
+    )
 
 
 def silver(spark: SparkSession, d: str) -> DataFrame:
@@ -44,9 +45,3 @@ def merge(target: DataFrame, source: DataFrame, on: str, update: list[str], dele
     if delete is not None:
         j = j.where(~F.coalesce(delete & F.col("in_t").isNotNull(), F.lit(False)))
     return j.select(on, *[F.when(F.col("in_s").isNotNull(), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in update])
-
-
-def latest(spark: SparkSession, d: str) -> DataFrame:
-    """The last event of each user: a source to merge."""
-    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return read(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "value")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import extraction
 from .functions import scalars as S
 from .operators import catalog, gate, graph, rules
 from .plans import encodings as E
@@ -28,27 +29,26 @@ def query(name: str, sql: str | None = None):
 
 _SRC = "CASE o_orderstatus WHEN 'F' THEN 'declared' WHEN 'O' THEN 'inferred_sql' ELSE 'inferred_code' END"
 _LINES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2, 3, 4)"
-_EDGES = f"""e AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS edge_id, 'part.' || l_partkey AS f, 'supplier.' || l_suppkey AS t, 'o' || l_orderkey AS job, {_SRC} AS src,
+_EDGES = f"""e AS (SELECT ((l_orderkey::HUGEINT * 10 + l_linenumber) * 1000000000000 + l_partkey) * 100000000000 + l_suppkey AS edge_id, 'part.' || l_partkey AS f, 'supplier.' || l_suppkey AS t, 'o' || l_orderkey AS job, {_SRC} AS src,
   l_returnflag = 'R' AS disc, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_orderkey FROM {_LINES} JOIN orders ON l_orderkey = o_orderkey)"""
 _MAPS = """m AS (SELECT edge_id, f, t, disc, o, c, src FROM (SELECT *, unnest([0, 1, 2]) AS o FROM (SELECT edge_id, f, t, disc, l_linestatus, l_linenumber FROM e))
-  JOIN (VALUES (0, 'revenue', 'declared'), (1, 'quantity', 'inferred_code'), (2, 'n_lines', 'declared')) AS v(k, c, src) ON k = o WHERE l_linenumber <= 5 AND (o < 2 OR l_linestatus = 'O'))"""
+  JOIN (VALUES (0, 'revenue', 'declared'), (1, 'quantity', 'inferred_code'), (2, 'n_lines', 'declared')) AS v(k, c, src) ON k = o WHERE o < 2 OR l_linestatus = 'O')"""
 _REFS = """refs AS (SELECT edge_id, o, 0 AS k, 0 AS p, t AS ds, c FROM m UNION ALL SELECT edge_id, o, 1, 0, f, CASE o WHEN 0 THEN 'price' ELSE 'quantity' END FROM m WHERE o < 2
   UNION ALL SELECT edge_id, o, 1, 1, f, 'discount' FROM m WHERE o = 0)"""
 _SCHEMAS = """sch AS (SELECT 'part.' || p_partkey AS ds, unnest(['price', 'quantity']) AS c FROM part WHERE p_partkey % 7 <> 0
   UNION ALL SELECT 'supplier.' || s_suppkey, unnest(['price', 'revenue', 'quantity']) FROM supplier WHERE s_suppkey % 3 <> 0)"""
 
 _COUNTS = f"""{_EDGES}, j AS (SELECT 'o' || o_orderkey AS id, o_orderpriority AS dag, {_SRC} AS src FROM orders), linked AS (SELECT DISTINCT job FROM e),
-mc AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS edge_id, CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS n FROM {_LINES} WHERE l_linenumber <= 5),
-a AS (SELECT dag, count(*) AS tasks, count(job) AS tasks_with_lineage, count(*) FILTER (src = 'declared') AS declared_tasks FROM j LEFT JOIN linked ON id = job GROUP BY dag),
-b AS (SELECT dag, count(*) FILTER (NOT disc) AS edges, count(*) FILTER (NOT disc AND e.src = 'declared') AS declared_edges, count(*) FILTER (disc) AS discovery_edges, CAST(sum(coalesce(n, 0)) AS BIGINT) AS column_mappings
-  FROM e LEFT JOIN mc USING (edge_id) JOIN j ON id = e.job GROUP BY dag),
-g AS (SELECT dag, tasks, tasks_with_lineage, declared_tasks, edges, declared_edges, discovery_edges, column_mappings FROM a JOIN b USING (dag))"""
-_RATIOS = "tasks_with_lineage / tasks AS coverage, declared_tasks / tasks AS annotation_coverage, declared_edges / edges AS high_confidence_fraction"
+a AS (SELECT dag, count(*) AS tasks_total, count(job) AS tasks_with_lineage, count(*) FILTER (src = 'declared') AS tasks_annotated FROM j LEFT JOIN linked ON id = job GROUP BY dag),
+b AS (SELECT dag, count(*) FILTER (NOT disc) AS edges_total, count(*) FILTER (NOT disc AND e.src = 'declared') AS high_confidence_edges, count(*) FILTER (disc) AS column_edges,
+  CAST(coalesce(sum(CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END) FILTER (disc), 0) AS BIGINT) AS column_mappings FROM e JOIN j ON id = e.job GROUP BY dag),
+g AS (SELECT dag, tasks_total, tasks_with_lineage, tasks_annotated, edges_total, high_confidence_edges, column_edges, column_mappings FROM a JOIN b USING (dag))"""
+_RATIOS = "tasks_with_lineage / tasks_total AS task_coverage, tasks_annotated / tasks_total AS annotation_coverage, high_confidence_edges / edges_total AS high_confidence_fraction"
 _TOTAL = "SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in gate.COUNTERS) + " FROM g"
 
 
 def _gate_tables(spark: SparkSession, d: str):
-    return E.jobs(spark, d).select("id", "dag", "source"), E.edges(spark, d), E.column_edges(spark, d).select("edge_id")
+    return E.jobs(spark, d).select("id", "dag", "source"), E.edges(spark, d)
 
 
 @query("gate_metrics_by_dag", f"WITH {_COUNTS} SELECT *, {_RATIOS} FROM g")
@@ -63,7 +63,7 @@ def gate_metrics_total(spark, d):
 
 @query(
     "gate_threshold_verdict",
-    f"""WITH {_COUNTS}, s AS ({_TOTAL}), r AS (SELECT {_RATIOS} FROM s), c AS (SELECT 'coverage' AS "check", coverage AS actual, 0.9::DOUBLE AS threshold FROM r UNION ALL SELECT 'annotation_coverage', annotation_coverage, 0.5 FROM r
+    f"""WITH {_COUNTS}, s AS ({_TOTAL}), r AS (SELECT {_RATIOS} FROM s), c AS (SELECT 'task_coverage' AS "check", task_coverage AS actual, 0.9::DOUBLE AS threshold FROM r UNION ALL SELECT 'annotation_coverage', annotation_coverage, 0.5 FROM r
 UNION ALL SELECT 'high_confidence_fraction', high_confidence_fraction, 0.2 FROM r) SELECT *, actual >= threshold AS passed FROM c""",
 )
 def gate_threshold_verdict(spark, d):
@@ -168,25 +168,26 @@ def backfill_schema(spark, d):
 
 @query(
     "gapfill_identity",
-    f"""WITH {_EDGES}, {_MAPS}, {_SCHEMAS} SELECT e.edge_id, e.f AS "from", e.t AS "to", a.c AS "column" FROM e JOIN sch a ON a.ds = e.t JOIN sch b ON b.ds = e.f AND b.c = a.c
+    f"""WITH {_EDGES}, {_MAPS}, {_SCHEMAS} SELECT CAST(e.edge_id AS VARCHAR) AS edge_id, e.f AS "from", e.t AS "to", a.c AS "column" FROM e JOIN sch a ON a.ds = e.t JOIN sch b ON b.ds = e.f AND b.c = a.c
 WHERE NOT disc AND NOT EXISTS (SELECT 1 FROM m WHERE m.edge_id = e.edge_id AND m.c = a.c)""",
 )
 def gapfill_identity(spark, d):
-    return catalog.fill_same_names(E.datasets(spark, d), E.edges(spark, d), E.column_edges(spark, d))
+    return catalog.fill_same_names(E.datasets(spark, d), E.edges(spark, d), E.column_edges(spark, d)).withColumn("edge_id", F.col("edge_id").cast("string"))
 
 
 @query(
     "missing_lineage",
-    f"""WITH {_EDGES} SELECT edge_id, 'warn' AS level, 'W_NO_COLUMN_LINEAGE' AS code, 'no column lineage for ' || l_partkey || ' -> ' || l_suppkey AS message, CAST(l_orderkey AS INTEGER) AS line FROM e WHERE l_linenumber > 5 AND NOT disc""",
+    f"""WITH {_EDGES} SELECT CAST(edge_id AS VARCHAR) AS edge_id, 'warn' AS level, 'W_NO_COLUMN_LINEAGE' AS code, 'no column lineage for ' || l_partkey || ' -> ' || l_suppkey AS message, CAST(l_orderkey AS INTEGER) AS line FROM e WHERE l_linestatus <> 'O' AND NOT disc""",
 )
 def missing_lineage(spark, d):
-    out = catalog.missing_lineage(E.edges(spark, d), E.column_edges(spark, d), E.jobs(spark, d))
-    return out.select("edge_id", "level", "code", "message", "location.line")
+    # of all mappings, those of counts are the ones that open lines alone have
+    out = catalog.missing_lineage(E.edges(spark, d), E.column_edges(spark, d).where("transform_type = 'aggregation'"), E.jobs(spark, d))
+    return out.select(F.col("edge_id").cast("string").alias("edge_id"), "level", "code", "message", "location.line")
 
 
-@query("edge_has_inferred", f"WITH {_EDGES} SELECT edge_id, src <> 'declared' OR l_linenumber <= 5 AS has_inferred FROM e")
+@query("edge_has_inferred", f"WITH {_EDGES} SELECT CAST(edge_id AS VARCHAR) AS edge_id, src <> 'declared' OR l_linestatus = 'F' AS has_inferred FROM e")
 def edge_has_inferred(spark, d):
-    return catalog.with_inferred(E.edges(spark, d), E.column_edges(spark, d)).select("edge_id", "has_inferred")
+    return catalog.with_inferred(E.edges(spark, d), E.column_edges(spark, d)).select(F.col("edge_id").cast("string").alias("edge_id"), "has_inferred")
 
 
 @query(
@@ -317,23 +318,36 @@ def opaque_columns(spark, d):
     return rules.opaque_columns(notes, l.where("l_returnflag = 'A'").select(job.alias("job"), column.alias("target")))
 
 
-@query("has_errors", "SELECT true AS has_errors")
+@query(
+    "has_errors",
+    """SELECT 'endpoints' AS rule, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey % 11 = 0 OR l_suppkey % 5 = 0) AS has_errors
+UNION ALL SELECT 'warnings', false UNION ALL SELECT 'names', EXISTS (SELECT 1 FROM customer GROUP BY c_name HAVING count(*) > 1)""",
+)
 def has_errors(spark, d):
-    return rules.has_errors(rules.unknown_endpoints(E.edges(spark, d), _known(spark, d)))
+    """Per rule: errors count, warnings don't."""
+    e = E.edges(spark, d)
+    found = {"endpoints": rules.unknown_endpoints(e, _known(spark, d)), "warnings": rules.misplaced_columns(e.withColumn("to", F.lit("x")), E.column_edges(spark, d)), "names": rules.duplicate_datasets(E.read(spark, d, "customer").select(F.col("c_name").alias("name")))}
+    parts = [rules.has_errors(f).select(F.lit(k).alias("rule"), "has_errors") for k, f in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(
     "closure_downstream",
-    """WITH RECURSIVE w AS (SELECT event_id, user_id % 40 AS u, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), x AS (SELECT DISTINCT u || b AS f, ((u * 3 + 1) % 40) || event_type AS t FROM w WHERE b IS NOT NULL),
+    """WITH RECURSIVE x AS (SELECT 'region.' || n_regionkey AS f, 'nation.' || n_nationkey AS t FROM nation UNION ALL SELECT 'nation.' || c_nationkey, 'customer.' || c_custkey FROM customer UNION ALL SELECT 'customer.' || o_custkey, 'order.' || o_orderkey FROM orders),
 r(source, node) AS (SELECT f, t FROM x UNION SELECT r.source, x.t FROM r JOIN x ON x.f = r.node) SELECT source, node FROM r""",
 )
 def closure_downstream(spark, d):
-    from pyspark.sql import Window as W
+    """All pairs, whose number grows as the edges do: each node has few others above it."""
+    return graph.reachable(E.key_edges(spark, d)).select("source", "node")
 
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = E.read(spark, d, "events").select("user_id", "event_type", F.lag("event_type").over(w).alias("b")).where("b is not null")
-    u = F.col("user_id") % 40
-    return graph.reachable(e.select(F.concat(u.cast("string"), "b").alias("from"), F.concat(((u * 3 + 1) % 40).cast("string"), "event_type").alias("to"))).select("source", "node")
+
+@query(
+    "closure_of_cycles",
+    """WITH RECURSIVE w AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), x AS (SELECT DISTINCT b AS f, event_type AS t FROM w WHERE b IS NOT NULL),
+r(source, node) AS (SELECT f, t FROM x UNION SELECT r.source, x.t FROM r JOIN x ON x.f = r.node) SELECT source, node FROM r""",
+)
+def closure_of_cycles(spark, d):
+    return graph.reachable(E.event_edges(spark, d)).select("source", "node")
 
 
 @query("closure_of_one", "SELECT 'region.1' AS source, 'nation.' || n_nationkey AS node, 1 AS hops FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'region.1', 'customer.' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'region.1', 'order.' || o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
@@ -350,7 +364,11 @@ def topo_levels(spark, d):
     return graph.levels(E.key_edges(spark, d))
 
 
-@query("topo_rank_exact")
+@query(
+    "topo_rank_exact",
+    """WITH x AS (SELECT DISTINCT 'part.' || l_partkey AS f, 'supplier.' || l_suppkey AS t FROM lineitem), a AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS r FROM (SELECT DISTINCT f FROM x)),
+b AS (SELECT t, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY t) - 1 AS r FROM (SELECT DISTINCT t FROM x)) SELECT f AS "from", t AS "to", a.r AS rf, b.r AS rt FROM x JOIN a USING (f) JOIN b USING (t)""",
+)
 def topo_rank_exact(spark, d):
     return graph.topological(E.edges(spark, d).select("from", "to").distinct()).select("from", "to", "rank.rf", "rank.rt")
 
@@ -449,14 +467,20 @@ def dot_nodes(spark, d):
     return E.read(spark, d, "nation").select(line.alias("line"))
 
 
-@query("dot_edges", f"""WITH {_EDGES} SELECT edge_id, '"' || f || '" -> "' || t || '" [' || CASE WHEN src <> 'declared' OR l_linenumber <= 5 THEN 'style=dashed, color=orange' ELSE 'style=solid, color=black' END || ']' AS line FROM e""")
+@query("dot_edges", f"""WITH {_EDGES} SELECT CAST(edge_id AS VARCHAR) AS edge_id, '"' || f || '" -> "' || t || '" [' || CASE WHEN src <> 'declared' OR l_linestatus = 'F' THEN 'style=dashed, color=orange' ELSE 'style=solid, color=black' END || ']' AS line FROM e""")
 def dot_edges(spark, d):
     e = catalog.with_inferred(E.edges(spark, d), E.column_edges(spark, d))
     q = lambda c: F.concat(F.lit('"'), S.dot_escape(F.col(c)), F.lit('"'))
-    return e.select("edge_id", F.concat(q("from"), F.lit(" -> "), q("to"), F.lit(" ["), F.when(F.col("has_inferred"), "style=dashed, color=orange").otherwise("style=solid, color=black"), F.lit("]")).alias("line"))
+    return e.select(F.col("edge_id").cast("string").alias("edge_id"), F.concat(q("from"), F.lit(" -> "), q("to"), F.lit(" ["), F.when(F.col("has_inferred"), "style=dashed, color=orange").otherwise("style=solid, color=black"), F.lit("]")).alias("line"))
 
 
-@query("openlineage_run_id")
+@query(
+    "openlineage_run_id",
+    """WITH b AS (SELECT o_orderkey AS k, list_transform(string_split('o' || o_orderkey, ''), lambda c: ascii(c)::HUGEINT) AS bytes FROM orders),
+x AS (SELECT k, bytes, list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS p FROM b),
+y AS (SELECT k, p, list_reduce(list_prepend(p, bytes), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS q FROM x),
+z AS (SELECT k, printf('%016x', p::UBIGINT) || printf('%016x', q::UBIGINT) AS h FROM y) SELECT k, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS run_id FROM z""",
+)
 def openlineage_run_id(spark, d):
     return E.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), S.run_id(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("run_id"))
 
@@ -468,13 +492,13 @@ def openlineage_fields(spark, d):
     return j.select("job", "output", F.col("to_column.column").alias("field"), F.explode("from_columns").alias("r"), kind.alias("x")).select("job", "output", "field", F.col("r.dataset").alias("input"), F.col("r.column").alias("input_field"), "x.type", "x.subtype")
 
 
-@query("openmetadata_columns", f"WITH {_EDGES}, {_MAPS} SELECT edge_id, CASE o WHEN 0 THEN 's.d.p.' || f || '.price,s.d.p.' || f || '.discount' ELSE 's.d.p.' || f || '.quantity' END AS from_columns, 's.d.p.' || t || '.' || c AS to_column FROM m WHERE o < 2")
+@query("openmetadata_columns", f"WITH {_EDGES}, {_MAPS} SELECT CAST(edge_id AS VARCHAR) AS edge_id, CASE o WHEN 0 THEN 's.d.p.' || f || '.price,s.d.p.' || f || '.discount' ELSE 's.d.p.' || f || '.quantity' END AS from_columns, 's.d.p.' || t || '.' || c AS to_column FROM m WHERE o < 2")
 def openmetadata_columns(spark, d):
     lists = E.column_edges(spark, d).withColumn("function", F.lit(None).cast("string")).groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "from_columns", "to_column", "function", F.struct(F.col("origin.source").alias("source")).alias("origin")))).alias("maps"))
     e = E.edges(spark, d).join(lists, "edge_id")
     fqn = lambda c: F.concat(F.lit("s.d.p."), F.col(c))
     out = e.select("edge_id", F.explode(S.columns_lineage(fqn("from"), fqn("to"), F.col("from"), F.col("maps"))).alias("m"))
-    return out.select("edge_id", F.array_join("m.fromColumns", ",").alias("from_columns"), F.col("m.toColumn").alias("to_column"))
+    return out.select(F.col("edge_id").cast("string").alias("edge_id"), F.array_join("m.fromColumns", ",").alias("from_columns"), F.col("m.toColumn").alias("to_column"))
 
 
 @query("edge_descriptions", f"SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN '{S.INFERRED_NOTE}' ELSE '{S.INFERRED_NOTE}' || chr(10) || chr(10) || o_orderpriority END AS description FROM orders")
@@ -509,15 +533,17 @@ def gold_daily_agg(spark, d):
     return M.gold(spark, d)
 
 
-_MERGE = """t AS (SELECT user_id, min_by(event_type, (ts, event_id)) AS event_type, round(min_by(value, (ts, event_id)), 4) AS value FROM events WHERE user_id % 3 <> 0 GROUP BY user_id),
-u AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, round(max_by(value, (ts, event_id)), 4) AS value FROM events WHERE user_id % 4 <> 0 GROUP BY user_id)"""
+_MERGE = """t AS (SELECT user_id, min_by(event_type, (ts, event_id)) AS event_type, round(min_by(value, (ts, event_id)), 4) AS value FROM events WHERE event_type IN ('click', 'signup') GROUP BY user_id),
+u AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, round(max_by(value, (ts, event_id)), 4) AS value FROM events WHERE event_type NOT IN ('click', 'signup') GROUP BY user_id)"""
 
 
 def _merge_sides(spark, d):
+    """Each event is in one of the sides: users first seen by some types, and last by the others."""
     e = E.read(spark, d, "events")
-    at = F.struct("ts", "event_id")
-    t = e.where("user_id % 3 <> 0").groupBy("user_id").agg(F.min_by("event_type", at).alias("event_type"), F.round(F.min_by("value", at), 4).alias("value"))
-    return t, M.latest(spark, d).where("user_id % 4 <> 0").withColumn("value", F.round("value", 4))
+    at, early = F.struct("ts", "event_id"), F.col("event_type").isin("click", "signup")
+    t = e.where(early).groupBy("user_id").agg(F.min_by("event_type", at).alias("event_type"), F.round(F.min_by("value", at), 4).alias("value"))
+    u = e.where(~early).groupBy("user_id").agg(F.max_by("event_type", at).alias("event_type"), F.round(F.max_by("value", at), 4).alias("value"))
+    return t, u
 
 
 @query("merge_upsert", f"WITH {_MERGE} SELECT coalesce(u.user_id, t.user_id) AS user_id, CASE WHEN u.user_id IS NOT NULL THEN u.event_type ELSE t.event_type END AS event_type, CASE WHEN u.user_id IS NOT NULL THEN u.value ELSE t.value END AS value FROM t FULL JOIN u ON t.user_id = u.user_id")
@@ -602,6 +628,16 @@ def top_k_per_group(spark, d):
     return E.read(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k <= 3").select("o_orderpriority", "o_orderkey")
 
 
+@query("rollup_data", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_data(spark, d):
+    return E.read(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("cube_data", "SELECT o_orderpriority, o_orderstatus, CAST(grouping(o_orderpriority, o_orderstatus) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+def cube_data(spark, d):
+    return E.read(spark, d, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
 @query("left_branch_union", "SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer")
 def left_branch_union(spark, d):
     return E.read(spark, d, "supplier").select(F.col("s_name").alias("name")).union(E.read(spark, d, "customer").select("c_name")).distinct()
@@ -622,3 +658,6 @@ def join_lineage_data(spark, d):
 def pivot_unpivot_data(spark, d):
     p = E.read(spark, d, "events").withColumn("p", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")).groupBy("event_type").pivot("p", ["even", "odd"]).count().na.fill(0)
     return p.unpivot(["event_type"], ["even", "odd"], "k", "n")
+
+QUERIES |= extraction.QUERIES
+ORACLE_SQL |= extraction.ORACLE_SQL

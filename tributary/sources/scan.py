@@ -9,26 +9,34 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
+from itertools import islice
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import schemas as T
 from ..operators import catalog, rules
 from ..shipping import ship
+from ..storage import file_system, scratch_uri, stored
 from ..tables import Document
 from . import python_facts as P
-from .sql_lineage import SqlLineage, sql_lineage
+from .sql_lineage import LINEAGE_ROWS, SqlLineage, sql_lineage
 
-#: Distinct SQL texts and constants that the driver holds, in characters; beyond, the scan is refused.
+#: Characters of constants, or of SQL texts, that are sent to the executors; more lie in files of the
+#: shared folder, from which each process reads what it needs.
 MAX_TEXT = 64 << 20
+#: Files of the shared folder that such texts are spread over, at most.
+BUCKETS = 10_000
 
 
 @dataclass
@@ -52,24 +60,26 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select(path.alias("path"), text.cast("string").alias("source")).select("path", "source", F.when(F.col("source").isNull(), "not UTF-8").alias("error"))
 
 
-def git_snapshot(repository: str, ref: str) -> str:
-    """A temporary folder on the driver with a commit's files; the caller removes it."""
-    target = tempfile.mkdtemp(prefix="tributary-ref-")
+def git_snapshot(spark: SparkSession, repository: str, ref: str) -> str:
+    """A new folder with a commit's files, in the folder that all executors share."""
+    local = tempfile.mkdtemp(prefix="tributary-ref-")
     try:
         archive = subprocess.run(["git", "-C", repository, "archive", ref], capture_output=True, check=True)
-        subprocess.run(["tar", "-x", "-C", target], input=archive.stdout, check=True, capture_output=True)
-    except (subprocess.CalledProcessError, FileNotFoundError):
-        shutil.rmtree(target, ignore_errors=True)
-        raise
-    return target
+        subprocess.run(["tar", "-x", "-C", local], input=archive.stdout, check=True, capture_output=True)
+        target = scratch_uri(spark) + "/files"
+        fs, path = file_system(spark, target)
+        fs.copyFromLocalFile(file_system(spark, f"file://{local}")[1], path)
+    finally:
+        shutil.rmtree(local, ignore_errors=True)
+    return re.sub("^file:/+", "/", target)
 
 
 def _module(path: str, root: str) -> tuple[str, bool]:
     return P.module_path(root, path), path.endswith("__init__.py")
 
 
-def _ask(files: DataFrame, root: str) -> tuple[dict[str, dict[str, str]], list[str]]:
-    """Constants by module, and the distinct SQL texts that an analysis asks for."""
+def _ask(files: DataFrame, root: str) -> tuple[dict | Shelf, DataFrame]:
+    """Constants by module, and a table of the distinct SQL texts that an analysis asks for."""
 
     def constants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,13 +92,14 @@ def _ask(files: DataFrame, root: str) -> tuple[dict[str, dict[str, str]], list[s
                 rows += [(_module(path, root)[0], k, v) for k, v in found.items()]
             yield pd.DataFrame(rows, columns=["module", "name", "value"])
 
-    known: dict[str, dict[str, str]] = {}
-    total = 0
-    for r in files.select("path", "source").mapInPandas(constants, "module string, name string, value string").toLocalIterator():
-        known.setdefault(r["module"], {})[r["name"]] = r["value"]
-        total += len(r["value"])
-        if total > MAX_TEXT:
-            raise ValueError("constants exceed MAX_TEXT; scan the folders apart")
+    named = stored(files.select("path", "source").mapInPandas(constants, "module string, name string, value string"))
+    if (named.agg(F.sum(F.length("value"))).first()[0] or 0) <= MAX_TEXT:
+        known: dict | Shelf = {}
+        for r in named.collect():  # at most MAX_TEXT
+            known.setdefault(r["module"], {})[r["name"]] = r["value"]
+    else:
+        modules = named.select("module").distinct()  # names alone
+        known = Shelf.of(named.select(F.col("module").alias("key"), "name", "value"), [r["module"] for r in modules.toLocalIterator()])
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,20 +117,88 @@ def _ask(files: DataFrame, root: str) -> tuple[dict[str, dict[str, str]], list[s
                     pass
             yield pd.DataFrame({"sql": sorted(asked)}, dtype=object)
 
-    out, total = [], 0
-    for r in files.select("path", "source").mapInPandas(texts, "sql string").distinct().toLocalIterator():
-        out.append(r["sql"])
-        total += len(r["sql"])
-        if total > MAX_TEXT:
-            raise ValueError("SQL texts exceed MAX_TEXT; scan the folders apart")
-    return known, out
+    asked = stored(files.select("path", "source").mapInPandas(texts, "sql string").distinct())
+    return known, asked
+
+
+def _answers(asked: DataFrame, precise: bool) -> dict | Shelf:
+    """The lineage of SQL texts: Spark's parser is the driver's, so they pass through it, some at a time."""
+    spark, few = asked.sparkSession, (asked.agg(F.sum(F.length("sql"))).first()[0] or 0) <= MAX_TEXT
+    held, parts = {}, None
+    rows = iter(asked.collect()) if few else asked.toLocalIterator()
+    while part := [r["sql"] for r in islice(rows, LINEAGE_ROWS)]:
+        found = {t: sql_lineage(spark, t, precise).as_dict() for t in part}
+        if few:
+            held |= found
+            continue
+        df = stored(spark.createDataFrame([(t, "lineage", json.dumps(f)) for t, f in found.items()], "key string, name string, value string"))
+        parts = df if parts is None else parts.union(df)
+    return held if parts is None else Shelf.of(parts, ())
+
+
+class Shelf:
+    """A mapping from a key to its named values, which lie in files of the shared folder by the key's
+    hash. A process holds the few files that it read last."""
+
+    def __init__(self, uri: str, buckets: int, keys: Iterable[str]) -> None:
+        self.uri, self.buckets, self.keys, self.read = uri, buckets, keys, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"read": {}}
+
+    @classmethod
+    def of(cls, rows: DataFrame, keys: Iterable[str]) -> Shelf:
+        """From (key, name, value) rows."""
+        size = rows.agg(F.sum(F.length("key") + F.length("value"))).first()[0] or 0
+        uri, buckets = scratch_uri(rows.sparkSession), max(1, min(BUCKETS, 4 * size // MAX_TEXT))
+
+        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, dict] = {}
+            for b in batches:
+                for bucket, key, name, value in zip(b["bucket"], b["key"], b["name"], b["value"]):
+                    held.setdefault(bucket, {}).setdefault(key, {})[name] = value
+            for bucket, values in held.items():
+                files, where = FileSystem.from_uri(f"{uri}/{bucket}.json")
+                with files.open_output_stream(where) as f:
+                    f.write(json.dumps(values).encode())
+            yield pd.DataFrame({"n": [len(held)]})
+
+        placed = rows.withColumn("bucket", F.pmod(F.crc32("key"), F.lit(buckets)).cast("int"))
+        placed.repartition(buckets, "bucket").mapInPandas(write, "n int").agg(F.sum("n")).collect()
+        return cls(uri, buckets, keys)
+
+    def get(self, key: str, default=None):
+        bucket = zlib.crc32(key.encode()) % self.buckets
+        if bucket not in self.read:
+            if len(self.read) > 3:
+                self.read.pop(next(iter(self.read)))
+            files, where = FileSystem.from_uri(f"{self.uri}/{bucket}.json")
+            there = files.get_file_info(where).type.name == "File"
+            self.read[bucket] = json.loads(files.open_input_file(where).read()) if there else {}
+        return self.read[bucket].get(key, default)
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __getitem__(self, key: str) -> dict:
+        return self.get(key)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.keys)
+
+
+def _answer(answers: dict | Shelf, text: str) -> dict:
+    found = answers.get(text)
+    if isinstance(answers, Shelf) and found:
+        found = json.loads(found["lineage"])
+    return found or SqlLineage().as_dict()
 
 
 def scan(spark: SparkSession, files: DataFrame, options: Options, finalize: bool = True) -> Document:
     """The document of (path, source, error) rows."""
     root = options.root
-    known, texts = _ask(files, root)
-    answers = {t: sql_lineage(spark, t, options.precise).as_dict() for t in texts}
+    known, asked = _ask(files, root)
+    answers = _answers(asked, options.precise)
     held = spark.sparkContext.broadcast((known, answers))
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +206,7 @@ def scan(spark: SparkSession, files: DataFrame, options: Options, finalize: bool
         for b in batches:
             rows = []
             for path, source, error in zip(b["path"], b["source"], b["error"]):
-                ask = lambda t: answers_.get(t) or SqlLineage().as_dict()
+                ask = lambda t: _answer(answers_, t)
                 out = Lowering(path, options, ask)
                 if isinstance(error, str):
                     out.diagnostic("error", "E_READ", f"{path}: {error}", None)
@@ -140,26 +219,19 @@ def scan(spark: SparkSession, files: DataFrame, options: Options, finalize: bool
                 rows += [(path, i, kind, json.dumps(row)) for i, (kind, row) in enumerate(out.rows)]
             yield pd.DataFrame(rows, columns=["path", "i", "kind", "row"])
 
-    from ..storage import stored
-
     found = stored(files.select("path", "source", "error").mapInPandas(facts, "path string, i int, kind string, row string"))
-    # a place in the whole: files by path, rows by their number; few rows a file, counted before
-    sizes = found.groupBy("path").agg(F.max("i").alias("n"))
-    starts = {}
-    at = 0
-    for r in sizes.orderBy("path").toLocalIterator():
-        starts[r["path"]] = at
-        at += r["n"] + 1
-    placed = found.join(spark.createDataFrame(list(starts.items()), "path string, start bigint"), "path") if starts else found.withColumn("start", F.lit(0).cast("bigint"))
-    placed = placed.withColumn("seq", F.col("start") + F.col("i"))
+    # a place in the whole: files by path, rows by their number
+    # only the names of the files meet in one task
+    order = found.select("path").distinct().select("path", F.row_number().over(W.orderBy("path")).cast("bigint").alias("file"))
+    placed = stored(found.join(order, "path").withColumn("seq", F.shiftleft("file", 24) + F.col("i")))
     document = Document.from_rows(spark, placed, options.namespace)
     return finish(document, options) if finalize else document
 
 
 def scan_path(spark: SparkSession, root: str, options: Options | None = None) -> Document:
     options = options or Options()
-    full = os.path.abspath(root)
-    options.root = full if os.path.isdir(full) else os.path.dirname(full)
+    full = root if "://" in root else os.path.abspath(root)
+    options.root = os.path.dirname(full) if full.endswith(".py") else full
     return scan(spark, read_files(spark, full), options)
 
 
@@ -321,6 +393,6 @@ def _engine(text: str) -> str:
     return {"pd": "pandas", "pyspark": "spark", "py": "python", "shell": "bash"}.get(t, t if t in ("sql", "pandas", "spark", "python", "bash") else "unknown")
 
 
-def remove(path: str) -> None:
-    if Path(path).exists():
-        shutil.rmtree(path, ignore_errors=True)
+def remove(spark: SparkSession, uri: str) -> None:
+    fs, path = file_system(spark, uri)
+    fs.delete(path, True)

@@ -18,14 +18,19 @@ def scratch_uri(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tributary-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, f"{root.rstrip('/')}/tributary-{uuid.uuid4().hex}")
     path = fs.makeQualified(path)
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString()
 
 
+def file_system(spark: SparkSession, uri: str) -> tuple:
+    """The file system of a URI, and its path there, as the JVM has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written and read back: its lineage ends there, and a lost executor loses none of it."""
     uri = scratch_uri(df.sparkSession) + "/t"

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from . import schemas as T
 from .functions.scalars import origin
 from .operators import catalog
+from .storage import stored
 
 PRODUCER = "tributary"
 
@@ -69,7 +70,8 @@ class Document:
         new = ordered.select(
             (F.lit(first + 1) + F.monotonically_increasing_id()).alias("edge_id"), "from", "to", "job", F.struct(F.col("engine").alias("kind"), "description", "sql").alias("transform"), F.lit(False).alias("column_discovery"), F.col("o").alias("origin")
         )
-        return self.replace(edges=self.edges.unionByName(new))
+        # numbers are given once: the ranges of another run may be cut elsewhere
+        return self.replace(edges=self.edges.unionByName(stored(new)))
 
     def add_same_names(self, filled: DataFrame) -> Document:
         ref = lambda d: F.struct(F.col(d).alias("dataset"), F.col("column").alias("column"))
@@ -86,12 +88,13 @@ class Document:
         """From a JSON document; members may be missing. Many documents at once are united."""
         d = spark.read.schema(T.parse(T.DOCUMENT)).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
         # only the names of the files meet in one task
-        numbers = d.select("file").distinct().select("file", ((F.row_number().over(W.orderBy("file")) - 1) * 10_000_000).alias("base"))
+        numbers = d.select("file").distinct().select("file", ((F.row_number().over(W.orderBy("file")) - 1) * (1 << 32)).alias("base"))
         part = lambda c: d.select("file", F.posexplode(c).alias("pos", "r")).join(numbers, "file").withColumn("seq", F.col("base") + F.col("pos"))
         datasets = part("datasets").select("seq", "r.*")
         jobs = part("jobs").select("seq", "r.*")
         raw = part("edges").select(F.col("seq").alias("edge_id"), "r.*")
         maps = raw.select("edge_id", F.posexplode("column_lineage").alias("ordinal", "m")).select("edge_id", "ordinal", "m.*")
+        maps = maps.withColumn("from_columns", F.coalesce("from_columns", F.array().cast(f"array<{T.REF}>")))
         edges = raw.drop("column_lineage").withColumn("column_discovery", F.coalesce("column_discovery", F.lit(False)))
         none = F.array().cast("array<string>")
         jobs = jobs.withColumns({"inputs": F.coalesce("inputs", none), "outputs": F.coalesce("outputs", none), "dag": F.coalesce("dag", F.lit("default"))})
@@ -113,7 +116,7 @@ class Document:
             e.pop("edge_id")
             if not e.get("column_discovery"):
                 e.pop("column_discovery", None)
-        out["diagnostics"] = rows(self.diagnostics, "seq")
+        out["diagnostics"] = rows(self.diagnostics, ["seq", "code", "message"])
         return out
 
     def write(self, path: str | None) -> str:
