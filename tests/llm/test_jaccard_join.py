@@ -142,6 +142,73 @@ def test_regions_are_cut_and_joined_exactly(spark, sets, shingles, monkeypatch):
     assert result(J.similar_documents(docs)) == brute(rows)
 
 
+def members_of(texts):
+    h, bounds = next((J.shingles(t) for _, _, t in J.chunks(pa.array(texts, pa.large_string()))))
+    return [(i, i % 3 > 0, h[x:y]) for i, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def cluster(n, size=60, seed=70):
+    """Near copies, each with another word of its own."""
+    base = words(size, seed).split()
+    return [" ".join([*base[: k % size], f"x{k}", *base[k % size + 1 :]]) for k in range(n)]
+
+
+def test_a_cluster_is_not_copied_to_cells(spark, monkeypatch):
+    """A large region that cells can't part goes to pairs of blocks at once, not each of its cells."""
+    texts, given, stored = cluster(60), [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df: (lambda out: given.append(out.count()) or out)(stored(df)))
+    rows = [("r", i, True, s.tobytes()) for i, _, s in members_of(texts)]
+    found = J.join_regions(spark.createDataFrame(rows, "region string, cid long, own boolean, item binary"), 30, 10**9)
+    assert {tuple(r) for r in found.collect()} == set(zip(*J._exact([(i, True, s) for i, _, s in members_of(texts)])))
+    assert max(given) == 60 * 4  # blocks of 15
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_sets_as_rows_of_a_matrix(across, monkeypatch):
+    members = members_of(cluster(90) + [words(60, 500 + k) for k in range(20)] + ["", "one"])
+    got = []
+    for dense, rows, cells in ((0, 512, 1 << 22), (10**9, 512, 1 << 22), (10**9, 7, 1000)):
+        for name, value in (("DENSE", dense), ("_ROWS", rows), ("_CELLS", cells)):
+            monkeypatch.setattr(J, name, value)
+        got.append(sorted(zip(*(x.tolist() for x in J._exact(members, across)))))
+    sets = [set(s.tolist()) for *_, s in members]
+    keep = lambda i, j: members[i][1] != members[j][1] if across else members[i][1] or members[j][1]
+    similar = lambda x, y: x & y and 100 * len(x & y) >= 80 * len(x | y)
+    assert got[0] == got[1] == got[2] == [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j]) and keep(i, j)]
+    assert len(got[0]) > 100
+
+
+def test_clusters_that_a_passage_connects_are_parted():
+    """Of several pivots in one cluster one is enough; so each cluster is a cell."""
+    texts = [f"{t} {words(4, 1)}" for g in range(3) for t in cluster(40, 60, 80 + g)]
+    members = [(i, True, s) for i, _, s in members_of(texts)]
+    cells = [c for c in J._cells(members, J.CELL) if c]
+    assert sorted(map(len, cells)) == [40, 40, 40]
+    assert {p for c in cells for p in zip(*J._exact(c))} == set(zip(*J._exact(members)))
+
+
+@pytest.mark.parametrize("sample,few", [(1, 1), (1, 10**9), (10**9, 1)])
+def test_common_shingles_go_last(spark, sample, few, monkeypatch):
+    """What a sample has in common only changes the order; sets that hold a common passage stay shut."""
+    for name, value in (("SAMPLE", sample), ("FEW", few), ("OPEN", 4)):
+        monkeypatch.setattr(J, name, value)
+    opened, holding = [], J._holding
+    monkeypatch.setattr(J, "_holding", lambda now, hashes: opened.append(1) or holding(now, hashes))
+    rows = [(i, words(90, 100 + i, 10**6) + " " + words(12, 99)) for i in range(40)]
+    rows += [(100 + i, t) for i, t in enumerate(cluster(3, 80))]
+    assert result(J.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert bool(opened) == (sample > 1)
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    """A cluster has as many links as pairs; a task sends one for each of its nodes."""
+    given, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: (lambda out: given.append(out.count()) or out)(stored(df)))
+    edges = spark.range(200).crossJoin(spark.range(200).withColumnRenamed("id", "b")).selectExpr("id as a", "b").where("a < b").coalesce(2)
+    assert {tuple(r) for r in C.components(edges).collect()} == {(i, 0) for i in range(200)}
+    assert given[0] <= 400
+
+
 def test_empty_table(spark):
     assert J.similar_documents(table(spark, [])).count() == 0
 

@@ -8,11 +8,14 @@ Rows with equal sets are one class. Two kinds of pivots cut the space into regio
     sets proposes pairs of matching sizes; a pair that enough regions propose stays. A region of many is left open; its pivot goes to the end of the order, and only the sets
     that hold an open pivot enter the next round. Each pair is thus proposed, or both of its sets
     stay open.
-2.  Sets. Each group that proposals connect, and each that open pivots do, is a region to be joined
+2.  Sets. Each group that proposals and open pivots connect is a region to be joined
     exactly. It is cut into the Voronoi cells of some of its sets; a set goes to its own cell and, by
     the triangle inequality, to each that is nearer than its own plus twice the radius. Cells are cut
     again until few sets are left, which are compared. A large region is cut by all executors, a
-    small one within a task; one that doesn't shrink is joined by blocks, or at once in the task.
+    small one within a task. One that cells can't part, as a cluster of near copies, is joined by
+    pairs of blocks, or at once in the task.
+
+Shingles that rows of a sample share come last in the order from the first round on.
 
 Distances of whole texts are too alike for pivots of the second kind alone: most are exactly 1.
 """
@@ -40,6 +43,11 @@ MAPPED_IDS = 100_000_000
 #: Bits of a class's key; where two classes have one key, both get another.
 CLASS_BITS = 64
 
+#: One of so many rows tells which shingles are common.
+SAMPLE = 32
+#: Rows to look at again are kept apart where they are one of so many, at most.
+FEW = 8
+
 SHINGLE, PERCENT = 5, 80
 #: Shingles that the windows of two similar sets share, at least.
 SHARED = 3
@@ -49,6 +57,9 @@ OPEN, ROUNDS = 64, 6
 REGION_SETS, REGION_SHINGLES, PIVOTS = 4_000, 1_500_000, 24
 #: Sets of a cell that are compared with each other.
 CELL = 16
+#: Sets are multiplied as rows of a matrix where it has at most so many cells for each that two sets
+#: share; rows of the result, and cells of the matrix, at once.
+DENSE, _ROWS, _CELLS = 16, 512, 4 << 20
 _PAIRS = 400_000
 
 
@@ -98,17 +109,41 @@ def _ragged(values: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values[take].view(np.int64)))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 and the window of each row's set."""
+def _behind(h: np.ndarray, bounds: np.ndarray, last: HashSet) -> np.ndarray:
+    """The shingles of each set in the order of its window: those of ``last`` behind all others."""
+    late = last.has(h)
+    return h[np.argsort(2 * np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + late, kind="stable")] if late.any() else h
+
+
+def _common(docs: DataFrame) -> DataFrame:
+    """Shingles (tok) that some rows of a sample share. They go to the end of the order at once, where
+    those of many sets would come after a round; the result is the same with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, text in chunks(batch.column(1)):
+                tok, k = np.unique(shingles(text)[0].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(k, pa.int64())], ["tok", "k"])
+        relax()
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counted = sample.mapInArrow(run, "tok bigint, k bigint").groupBy("tok").agg(F.sum("k").alias("k"))
+    return stored(counted.where((F.col("k") > 1) & (F.col("k") * SAMPLE >= OPEN)).select("tok"))
+
+
+def _sets(docs: DataFrame, last: HashSet) -> DataFrame:
+    """doc_id, n, f1, f2 and the window of each row's set, with the shingles of ``last`` behind all others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_ = held.value
         for batch in batches:
             for a, b, text in chunks(batch.column(1)):
                 h, bounds = shingles(text)
                 n = np.diff(bounds)
                 f1, f2 = _fingerprints(h, bounds, CLASS_BITS)
-                columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _ragged(h, bounds, window(n))]
+                columns = [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _ragged(_behind(h, bounds, last_), bounds, window(n))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "win"])
         relax()
 
@@ -122,6 +157,10 @@ class HashSet:
         self.map = self.sorted = None
         if n <= EXACT_HASHES:
             self.sorted = np.unique(hashes.toArrow().column(0).to_numpy().view(np.uint64))
+            # most hashes aren't in, which their leading bits tell
+            self.shift = np.uint64(64 - max(10, (16 * n).bit_length()))
+            self.first = np.zeros(1 << (64 - int(self.shift)), bool)
+            self.first[(self.sorted >> self.shift).astype(np.int64)] = True
         else:
             self.map = bit_map(hashes, n)
 
@@ -130,7 +169,10 @@ class HashSet:
             return self.map.has(x)
         if not len(self.sorted):
             return np.zeros(len(x), bool)
-        return self.sorted[np.minimum(np.searchsorted(self.sorted, x), len(self.sorted) - 1)] == x
+        out = self.first[(x >> self.shift).astype(np.int64)]
+        some = x[out]
+        out[out] = self.sorted[np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)] == some
+        return out
 
 
 class _All:
@@ -174,13 +216,23 @@ def _windows_again(docs: DataFrame, wanted: HashSet, last: HashSet, keys: Keys)
             for _, _, text in chunks(_rows_of(batch, wanted_).column(1)):
                 h, bounds = shingles(text)
                 n = np.diff(bounds)
-                order = np.lexsort((h, last_.has(h), np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys_(*_fingerprints(h, bounds, CLASS_BITS))), pa.array(n, pa.int32()), _ragged(h[order], bounds, window(n))], ["cid", "n", "win"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_(*_fingerprints(h, bounds, CLASS_BITS))), pa.array(n, pa.int32()), _ragged(_behind(h, bounds, last_), bounds, window(n))], ["cid", "n", "win"])
         relax()
 
     return docs.mapInArrow(run, "cid bigint, n int, win array<bigint>")
 
 
+def _only(docs: DataFrame, wanted: HashSet | _All) -> DataFrame:
+    """The wanted rows, for more than one look at them."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows_of(batch, held.value)
+
+    return stored(docs.mapInArrow(run, docs.schema))
+
+
 def _whole_sets(docs: DataFrame, wanted: HashSet, keys: Keys) -> DataFrame:
     """cid and all shingles, as bytes, of the wanted rows' sets."""
     held = docs.sparkSession.sparkContext.broadcast((wanted, keys))
@@ -345,41 +397,72 @@ def _regions(tokens: DataFrame) -> DataFrame:
     return thinned.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(propose, "a bigint, b bigint, k int, need int")
 
 
-def _exact(members: list[tuple[int, bool, np.ndarray]]) -> tuple[list[int], list[int]]:
-    """Similar pairs among (cid, own, set): at least one of a pair is at home here."""
-    a_out: list[int] = []
-    b_out: list[int] = []
-    k = len(members)
+def _exact(members: list[tuple[int, bool, np.ndarray]], across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs among (cid, own, set): at least one of a pair is at home here; ``across``: exactly one."""
+    k, none = len(members), np.zeros(0, np.int64)
     if k < 2:
-        return a_out, b_out
+        return none, none
     sizes = np.asarray([len(s) for *_, s in members])
-    cids, own = np.asarray([m[0] for m in members]), np.asarray([m[1] for m in members])
+    cids, own = np.asarray([m[0] for m in members], np.int64), np.asarray([m[1] for m in members], bool)
     tok = np.concatenate([s for *_, s in members])
     who = np.repeat(np.arange(k), sizes)
     # shingles of one set alone can't be shared
     order = np.argsort(tok, kind="stable")
     tok, who = tok[order], who[order]
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    code = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(tok)]])))
-    df = np.bincount(code)
-    rows = df[code] > 1
-    code, who = code[rows], who[rows]
-    back = np.argsort(who, kind="stable")
-    by_set, bounds = code[back], np.searchsorted(who[back], np.arange(k + 1))
-    at = np.searchsorted(code, np.arange(len(df) + 1))
-    for i in range(k):
-        mine = by_set[bounds[i] : bounds[i + 1]]
-        if not len(mine):
-            continue
-        n = at[mine + 1] - at[mine]
-        spans = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        shared = np.bincount(who[spans], minlength=k)[i + 1 :]
-        union = sizes[i] + sizes[i + 1 :] - shared
-        hit = np.flatnonzero((100 * shared >= PERCENT * union) & (shared > 0) & (own[i] | own[i + 1 :])) + i + 1
-        for j in hit:
-            a_out.append(int(min(cids[i], cids[j])))
-            b_out.append(int(max(cids[i], cids[j])))
-    return a_out, b_out
+    df = np.diff(np.concatenate([start, [len(tok)]]))
+    who, df = who[np.repeat(df > 1, df)], df[df > 1]
+    found = []
+    for i, j, shared in _overlaps(who, df, k):
+        use = own[i] != own[j] if across else own[i] | own[j]
+        i, j, shared = i[use], j[use], shared[use]
+        hit = 100 * shared >= PERCENT * (sizes[i] + sizes[j] - shared)
+        found.append(np.stack([cids[i[hit]], cids[j[hit]]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs.min(axis=0), pairs.max(axis=0)
+
+
+def _overlaps(who: np.ndarray, df: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs i < j of k sets that share shingles, and how many. ``who`` has each shingle's sets, one
+    shingle after the other, ``df`` their numbers. Sets that share most of theirs, as those of a
+    cluster do, are multiplied as rows of a matrix."""
+    at = np.concatenate([[0], np.cumsum(df)])
+    if k < 64 or k * k * len(df) > DENSE * int((df.astype(np.int64) ** 2).sum()):
+        code = np.repeat(np.arange(len(df)), df)
+        back = np.argsort(who, kind="stable")
+        by_set, bounds = code[back], np.searchsorted(who[back], np.arange(k + 1))
+        for i in range(k):
+            mine = by_set[bounds[i] : bounds[i + 1]]
+            if not len(mine):
+                continue
+            n = df[mine]
+            spans = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            shared = np.bincount(who[spans], minlength=k)
+            shared[: i + 1] = 0
+            j = np.flatnonzero(shared)
+            if len(j):
+                yield np.full(len(j), i), j, shared[j]
+        return
+    width = max(1, _CELLS // k)
+    for a in range(0, k, _ROWS):
+        shared = np.zeros((min(_ROWS, k - a), k - a), np.float32)
+        for c in range(0, len(df), width):
+            d = min(len(df), c + width)
+            x = np.zeros((k, d - c), np.float32)
+            x[who[at[c] : at[d]], np.repeat(np.arange(d - c), df[c:d])] = 1
+            shared += x[a : a + _ROWS] @ x[a:].T
+        i, j = np.nonzero(np.triu(shared, 1))
+        yield i + a, j + a, shared[i, j].astype(np.int64)
+
+
+def _apart(d: np.ndarray) -> list[int]:
+    """Of pivots, by the distances among them, some that lie apart: several in a cluster would each
+    get all of it."""
+    kept: list[int] = []
+    for q in range(len(d)):
+        if (d[q, kept] > 2 * (1 - PERCENT / 100)).all():
+            kept.append(q)
+    return kept
 
 
 def _cells(members: list[tuple[int, bool, np.ndarray]], cell: int) -> Iterator[list[tuple[int, bool, np.ndarray]]]:
@@ -397,6 +480,8 @@ def _cells(members: list[tuple[int, bool, np.ndarray]], cell: int) -> Iterator[l
         shared = np.concatenate([[0], np.cumsum(x[np.minimum(np.searchsorted(x, tok), len(x) - 1)] == tok)])[bounds]
         shared = np.diff(shared)
         d[:, q] = 1 - shared / (sizes + len(x) - shared)
+    kept = _apart(d[pivots])
+    pivots, d = pivots[kept], d[:, kept]
     radius, least, home = 1 - PERCENT / 100, d.min(axis=1), d.argmin(axis=1)
     near = (d <= least[:, None] + 2 * radius + 1e-9) & (d < 1)
     parts = [np.flatnonzero(near[:, q]) for q in range(len(pivots))] + [np.flatnonzero(least >= 1 - radius - 1e-9)]
@@ -411,14 +496,19 @@ def _cells(members: list[tuple[int, bool, np.ndarray]], cell: int) -> Iterator[l
 def _join_region(t: pa.Table) -> pa.Table:
     # rows of one set may come more than once
     members = {c: (c, o, np.frombuffer(s, np.uint64)) for c, o, s in zip(*(t.column(k).to_pylist() for k in ("cid", "own", "item")))}
-    a: list[int] = []
-    b: list[int] = []
-    for part in _cells(list(members.values()), CELL):
-        for found, more in zip((a, b), _exact(part)):
-            found += more
+    # two different blocks of a region: pairs within one of them meet elsewhere
+    first, _, second = t.column("region")[0].as_py().rpartition("#")[2].partition(",") if t.num_rows else ("", "", "")
+    across = bool(second) and first != second
+    parts = [list(members.values())] if across else list(_cells(list(members.values()), CELL))
+    pairs = np.concatenate([np.stack(_exact(part, across)) for part in parts], axis=1)
+    if len(parts) > 1:  # cells overlap
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+        pairs = pairs[:, new]
     if t.num_rows > 200:
         relax()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
 def _distances(item: bytes, pivots: list[np.ndarray]) -> np.ndarray:
@@ -445,13 +535,18 @@ def join_regions(members: DataFrame, region_sets: int = REGION_SETS, region_shin
             found = members.groupBy("region").applyInArrow(_join_region, "a bigint, b bigint")
             return found.distinct()
         is_large = F.col("region").isin([r.region for r in large_rows])
-        # cells that hardly shrank are joined by pairs of blocks; the others get pivots of their own
-        blocks = {r.region: max(2, -(-2 * r.sets // region_sets), int(-(-2 * r.total // region_shingles))) for r in large_rows if r.region in parents and r.sets > 0.8 * parents[r.region]}
         rank = W.partitionBy("region").orderBy(F.xxhash64("cid"), "cid")
         chosen = members.where(is_large).select("region", "cid").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= PIVOTS).select("region", "cid")
         pivots: dict[str, list[np.ndarray]] = {}
         for r in members.join(F.broadcast(chosen), ["region", "cid"]).select("region", "cid", "item").toLocalIterator():
             pivots.setdefault(r.region, []).append(np.frombuffer(r["item"], np.uint64))
+        # cells that hardly shrank are joined by pairs of blocks, and so are regions that cells can't
+        # part, as a cluster's: each cell would get nearly all of it. The others get pivots
+        blocks = {}
+        for r in large_rows:
+            pivots[r.region], parted = _pivots_apart(pivots[r.region])
+            if not parted or r.region in parents and r.sets > 0.8 * parents[r.region]:
+                blocks[r.region] = max(2, -(-2 * r.sets // region_sets), int(-(-2 * r.total // region_shingles)))
         held = members.sparkSession.sparkContext.broadcast((pivots, blocks))
 
         def cut(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -463,7 +558,10 @@ def join_regions(members: DataFrame, region_sets: int = REGION_SETS, region_shin
                         # every pair of blocks meets once; a block's own pairs meet in (i, i)
                         m = blocks_[region]
                         i = int(mix(np.asarray([cid]).view(np.uint64))[0] % np.uint64(m))
-                        rows += [(f"{region}#{min(i, j)},{max(i, j)}", cid, own, item) for j in range(m)]
+                        rows += [(f"{region}#{min(i, j)},{max(i, j)}", cid, i <= j, item) for j in range(m)]
+                        if len(rows) > 256:
+                            yield _members(rows)
+                            rows = []
                         continue
                     d = _distances(item, pivots_[region])
                     home = int(d.argmin()) if d.min() < 1 else -1
@@ -484,6 +582,17 @@ def join_regions(members: DataFrame, region_sets: int = REGION_SETS, region_shin
         members = members.where(~is_large).unionByName(fresh)
 
 
+def _pivots_apart(items: list[np.ndarray]) -> tuple[list[np.ndarray], bool]:
+    """Of some sets of a region those that lie apart, and whether cells around these would part it, as
+    far as the sets tell: none holds most of them, and they don't lie in many cells each."""
+    d = np.stack([_distances(x.tobytes(), items) for x in items])
+    kept = _apart(d)
+    d, radius = d[:, kept], 1 - PERCENT / 100
+    least = d.min(axis=1, keepdims=True)
+    parts = np.concatenate([(d <= least + 2 * radius + 1e-9) & (d < 1), least >= 1 - radius - 1e-9], axis=1).sum(axis=0)
+    return [items[q] for q in kept], bool(parts.max() <= 0.8 * len(items) and parts.sum() <= 3 * len(items))
+
+
 def _members(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["region", "cid", "own", "item"])
@@ -494,13 +603,15 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     different classes (a, b), a below b. A class is told by 128 bits, and goes by 64 of its own."""
     integer_ids(docs)
     docs = docs.select("doc_id", "text")
-    sets = stored(_sets(docs))
+    hot = _common(docs)
+    sets = stored(_sets(docs, HashSet(hot, hot.count())))
     classes, keys = _classes(sets)
+    left, n_left = docs, sets.count()
     cid = F.col("f1")
     if keys.torn:
         own = F.create_map(*[F.lit(x) for (f1, f2), k in keys.torn.items() for x in (f"{f1},{f2}", k)])
         cid = F.coalesce(own[F.concat_ws(",", "f1", "f2")], cid)
-    now, still_open, hot, pairs = sets.where("n > 0").select(cid.alias("cid"), "n", "win"), None, None, None
+    now, still_open, pairs = sets.where("n > 0").select(cid.alias("cid"), "n", "win"), None, None
     for _ in range(ROUNDS):
         found = stored(_regions(now))
         # a pair whose shared pivots are all closed here is counted in full; others meet again
@@ -513,17 +624,20 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             break
         # the sets that hold an open pivot; others have met all that they can be similar to
         still_open = stored(_holding(now, HashSet(fresh, n_open)).distinct())
-        if hot is not None and fresh.join(hot, "tok", "left_anti").isEmpty():
+        if fresh.join(hot, "tok", "left_anti").isEmpty():
             break
-        hot = stored(fresh if hot is None else hot.union(fresh).distinct())
-        rows, again = _rows_with(docs, classes.join(still_open, "cid", "left_semi"))
+        hot = stored(hot.union(fresh).distinct())
+        rows, again = _rows_with(left, classes.join(still_open, "cid", "left_semi"))
+        n_sets = still_open.count()
+        if n_sets * FEW <= n_left:  # sets that aren't open now never will be
+            rows, again = _only(rows, again), _All()
+            left, n_left = rows, n_sets
         now = stored(_windows_again(rows, again, HashSet(hot, hot.count()), keys))
     else:
         fresh = None  # rounds are used up: what is left is connected by any pivot
-    groups = components(pairs).select(F.concat(F.lit("g"), F.col("root").cast("string")).alias("region"), F.col("node").alias("cid"))
     if still_open is not None:
-        dense = components(_stars(now.join(still_open, "cid", "left_semi"), _All() if fresh is None else HashSet(fresh, n_open)))
-        groups = groups.union(dense.select(F.concat(F.lit("d"), F.col("root").cast("string")), "node"))
+        pairs = pairs.union(_stars(now.join(still_open, "cid", "left_semi"), _All() if fresh is None else HashSet(fresh, n_open)))
+    groups = components(pairs).select(F.col("root").cast("string").alias("region"), F.col("node").alias("cid"))
     groups = stored(groups.join(classes.select("cid", "n", "rep"), "cid"))
     items = _whole_sets(*_rows_with(docs, groups), keys)
     size = groups.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
@@ -532,7 +646,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = member(groups.join(large, "region", "left_anti")).groupBy("region").applyInArrow(_join_region, "a bigint, b bigint")
     if not large.isEmpty():
         links = links.union(join_regions(member(groups.join(large, "region", "left_semi"))))
-    return sets.select("doc_id", "n", "f1", "f2"), classes, stored(links.distinct())
+    return sets.select("doc_id", "n", "f1", "f2"), classes, stored(links)
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, Keys]:
