@@ -235,6 +235,17 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r.doc_id for r in J.one_of_each(plain).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("exact,exchanged", [(J.EXACT_HASHES, False), (1, True)])
+def test_no_text_is_exchanged_for_few_rows_to_drop(spark, exact, exchanged, monkeypatch):
+    monkeypatch.setattr(J, "EXACT_HASHES", exact)
+    texts = [words(60, 1), words(60, 1), words(60, 2), None, "", words(60, 2) + " tail", words(50, 3)]
+    kept = J.one_of_each(spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, doc_id long, text string"))
+    assert kept.columns == ["source", "doc_id", "text"]
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 6]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("LeftAnti" not in plan) == exchanged
+
+
 @pytest.mark.parametrize("local", [C.LOCAL_EDGES, 0])
 def test_components(spark, local):
     edges = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 6), (5, 5), (2, 1), (20, 30), (30, 40), (40, 50), (50, 20)] + [(100, i) for i in range(101, 130)]

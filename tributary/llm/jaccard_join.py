@@ -750,6 +750,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     twice = kept.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     ids = first.select(F.col("doc_id").alias("kept_id")).distinct()
     if twice.isEmpty():
+        gone = kept.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"))
+        if gone.count() <= EXACT_HASHES:  # no text is exchanged
+            return docs.join(F.broadcast(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
         return docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
 
     @F.pandas_udf("f1 bigint, f2 bigint, n int")
