@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -71,6 +72,32 @@ def test_units_give_the_library_ids(library):
             assert library.encode(t or "", add_special_tokens=False).ids == x.tolist(), repr(t)
 
 
+@pytest.mark.parametrize("bits", [3, 12])
+def test_pieces_of_one_hash_are_told_apart(bits, library, monkeypatch):
+    pieces_of, r = T.pieces_of, random.Random(bits)
+    monkeypatch.setattr(T, "pieces_of", lambda text: (p := pieces_of(text))._replace(h1=p.h1 >> np.uint64(64 - bits)))
+    monkeypatch.setattr(T, "_WORDS", 5)
+    encoder = T.UnitEncoder(PATH, size=50)
+    for n in (1, 1, 1, 2, 40, 1, 300):
+        texts = ["".join(r.choice(SIGNS) for _ in range(r.randrange(14))) for _ in range(n)]
+        ids, bounds = encoder(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_pieces_take_few_bytes():
+    def slice_of(k):
+        return pa.array([" ".join("".join(chr(97 + i // 26**j % 26) for j in range(5)) for i in range(k * 10_000, (k + 1) * 10_000))])
+
+    encoder = T.UnitEncoder(PATH, size=20_000)
+    T.UnitEncoder(PATH)(slice_of(9))  # makes what all encoders share
+    tracemalloc.start()
+    for k in range(5):
+        encoder(slice_of(k))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 50_000 * 64
+
+
 @pytest.mark.parametrize("name,whole", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True), ("changed", True)])
 def test_other_vocabulary_files_are_left_to_the_library(name, whole, tmp_path):
     path = PATH

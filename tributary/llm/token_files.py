@@ -10,7 +10,6 @@ Layout: blocks | block starts (u64) | doc ids (i64) | their validity (u8) | docu
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import struct
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .io import integer_ids, scratch_uri, table
-from .words import _BYTE, _BYTE2, LOWER, Text, _byte_powers, chunks, mix
+from .words import _BYTE, _BYTE2, LOWER, Text, _byte_powers, chunks, mix, relax
 
 BLOCK, PERCENTILE = 1024, 0.98
 _HEAD = struct.Struct("<IBHH")  # minimum, width, exceptions, ids
@@ -33,6 +32,8 @@ _TAIL = struct.Struct("<QQQIf8s")  # blocks, documents, ids, block size, percent
 _MAGIC = b"TRIBPFR1"
 #: Ids coded at once.
 _STRIDE = 64
+#: Pieces that the library gets at once: it holds some hundred bytes for each.
+_WORDS = 16_384
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -250,78 +251,110 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = x[order]
     new = np.ones(len(x), bool)
     new[1:] = value[1:] != value[:-1]
-    back = np.empty(len(x), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(x), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     return value[new], order[new], back
 
 
+class Known:
+    """Ids of pieces by hash, in a few arrays: a dict's objects would take three times the memory."""
+
+    def __init__(self) -> None:
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, which are in order, and whether they are here."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Second hashes, counts and ids of the pieces at some places."""
+        return self.marks[at], self.counts[at], _gather(self.ids, self.starts[at], self.counts[at])
+
+    def add(self, keys: np.ndarray, marks: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces that aren't here yet, in the order of their hashes."""
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
+        self.ids = np.concatenate([self.ids, ids])
+        for name, x in (("keys", keys), ("marks", marks), ("starts", starts), ("counts", counts)):
+            setattr(self, name, np.insert(getattr(self, name), at, x))
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after the other."""
+    kind = np.int32 if max(len(ids), int(counts.sum(dtype=np.int64))) < 1 << 31 else np.int64
+    place = np.repeat((starts - np.cumsum(counts, dtype=np.int64) + counts).astype(kind), counts)
+    place += np.arange(len(place), dtype=kind)
+    return ids[place]
+
+
 class UnitEncoder:
     """The library's ids of whole texts, by pieces that it treats apart.
 
     Pieces are told from each other by two 64-bit hashes, over all of a slice at once; each different
     one is looked up once. Those met before, up to two generations of ``size``, aren't encoded again;
-    of new ones, all plain words go to the library in one call, others in a batch.
+    of new ones, plain words go to the library ``_WORDS`` in a call, others in a batch.
     """
 
     def __init__(self, path: str, size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.library, self.words):
-            t.no_truncation(), t.no_padding()
-        # for pieces that are normalised and split already
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation(), self.library.no_padding()
+        # for pieces that are normalised and split already, and hold no added token; both share one model
+        self.words = Tokenizer(self.library.model)
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size, self.known, self.old = size, {}, {}
+        self.size, self.known, self.old = size, Known(), Known()
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of texts, one after the other, and the bounds of each."""
         parts: list[Pieces] = []
-        docs, held = [], 0
+        docs, held, none = [], 0, np.zeros(0, np.uint64)
+        hashes: tuple[list[np.ndarray], list[np.ndarray]] = ([none], [none])
         for _, _, text in chunks(column):
             p = pieces_of(text)
-            parts.append(p)
+            hashes[0].append(p.h1), hashes[1].append(p.h2)
+            # a text has below 2**31 bytes
+            parts.append(p._replace(h1=none, h2=none, starts=p.starts.astype(np.int32), ends=p.ends.astype(np.int32)))
             docs.append(p.first[1:] + held)
             held += len(p.h1)
         if not held:
             return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
-        h1, h2 = (np.concatenate(x) for x in (tuple(p.h1 for p in parts), tuple(p.h2 for p in parts)))
+        h1, h2 = map(np.concatenate, hashes)
+        del p, hashes
         keys, at, back = _distinct(h1)
         if (h2[at][back] != h2).any():  # two pieces of one hash: tell them by both
             keys, at, back = _distinct(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)))
-        known, old = self.known, self.old
-        listed = keys.tolist()
-        found = list(map(known.get, listed))
-        new = []
-        for i in [i for i, f in enumerate(found) if f is None]:
-            value = old.get(listed[i])
-            if value is None:
-                new.append(i)
-            else:
-                found[i] = known[listed[i]] = value
-        if new:
-            marks = h2[at[new]].tobytes()
-            for k, (i, ids) in enumerate(zip(new, self._encode(parts, at[new]))):
-                found[i] = known[listed[i]] = marks[8 * k : 8 * k + 8] + ids
-        # a value starts with its piece's second hash
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
-        check = flat[start].astype(np.uint64) | flat[start + 1].astype(np.uint64) << np.uint64(32)
-        if (check != h2[at]).any():
-            self.known, self.old = {}, {}  # another piece has this hash: forget all, and go again
+        marks = h2[at]
+        del h1, h2
+        missing = np.flatnonzero(~self.known.find(keys)[1])
+        place, there = self.old.find(keys[missing])
+        self.known.add(keys[missing[there]], *self.old.rows(place[there]))
+        new = missing[~there]
+        if len(new):
+            self.known.add(keys[new], marks[new], *self._encode(parts, at[new]))
+        del parts
+        known = self.known
+        place, _ = known.find(keys)
+        if (known.marks[place] != marks).any():
+            self.known, self.old = Known(), Known()  # another piece has this hash: forget all, and go again
             return self(column)
-        count = size[back] - 2
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat(start[back] + 2 - total[:-1], count) + np.arange(total[-1])]
-        if len(self.known) > self.size:
-            self.known, self.old = {}, self.known
+        count = known.counts[place][back]
+        ids = _gather(known.ids, known.starts[place][back], count)
+        if len(known.keys) > self.size:
+            self.known, self.old = Known(), known
+        total = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
         return ids, total[np.concatenate([[0], *docs])]
 
-    def _encode(self, parts: list[Pieces], at: np.ndarray) -> list[bytes]:
-        """Ids of the pieces with these numbers."""
-        bounds = np.cumsum([0, *(len(p.h1) for p in parts)])
+    def _encode(self, parts: list[Pieces], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of ids of the pieces with these numbers, and their ids one after the other."""
+        bounds = np.cumsum([0, *(len(p.starts) for p in parts)])
         texts: list[str] = [""] * len(at)
         whole = np.zeros(len(at), bool)
         for g, p in enumerate(parts):
@@ -331,18 +364,22 @@ class UnitEncoder:
                 whole[here] = p.whole[j]
                 for i, x, y in zip(here.tolist(), p.starts[j].tolist(), p.ends[j].tolist()):
                     texts[i] = raw[x:y].decode()
-        out: list[bytes] = [b""] * len(at)
-        plain, others = np.flatnonzero(~whole).tolist(), np.flatnonzero(whole).tolist()
-        if plain:
-            e = self.words.encode([texts[i] for i in plain], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            a = 0
-            for i, b in zip(plain, (np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(plain))) * 4).tolist()):
-                out[i] = ids[a:b]
-                a = b
-        for i, e in zip(others, self.library.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)):
-            out[i] = np.asarray(e.ids, "<u4").tobytes()
-        return out
+        counts, flat = np.zeros(len(at), np.int32), []
+        plain, others = np.flatnonzero(~whole), np.flatnonzero(whole)
+        for a in range(0, len(plain), _WORDS):
+            some = plain[a : a + _WORDS]
+            e = self.words.encode([texts[i] for i in some.tolist()], is_pretokenized=True, add_special_tokens=False)
+            counts[some] = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some))
+            flat.append(np.asarray(e.ids, "<u4"))
+        for a in range(0, len(others), _WORDS):
+            some = others[a : a + _WORDS]
+            found = [np.asarray(e.ids, "<u4") for e in self.library.encode_batch_fast([texts[i] for i in some.tolist()], add_special_tokens=False)]
+            counts[some] = [len(x) for x in found]
+            flat += found
+        order = np.concatenate([plain, others])
+        starts = np.zeros(len(at), np.int64)
+        starts[order] = np.cumsum(counts[order], dtype=np.int64) - counts[order]
+        return counts, _gather(np.concatenate(flat), starts, counts)
 
 
 class WholeEncoder:
@@ -415,8 +452,6 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) ->
     integer_ids(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the encoder makes millions of small objects and no cycles: scans for those only cost
-        gc.disable()
         encoder = encoder_of(path)
         end, writer, first, target = np.asarray([end_id], "<u4"), None, None, ""
         for batch in batches:
@@ -428,9 +463,11 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2) ->
                         files, where = _filesystem(target)
                         writer = Writer(files.open_output_stream(where))
                     writer.add(d, np.concatenate([x, end]))
+                # an executor may hold more workers than cores, and each keeps its encoder
+                del ids, x
+                relax()
         if writer is not None:
             writer.close()
-            gc.enable()
             yield pa.RecordBatch.from_pydict({"uri": [target], "first": pa.array([first], pa.int64()), "docs": [len(writer.docs)], "ids": [writer.total]})
 
     # a sorted range follows another; the exchange's pieces may be merged, but only with neighbours
