@@ -1,10 +1,14 @@
 import hashlib
 import json
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 from tributary.llm import bpe
 
@@ -89,6 +93,26 @@ def test_rows(spark, library):
     assert bpe.digest_documents(table(spark, []), PATH).count() == 0
 
 
+@pytest.mark.parametrize("step", [bpe.digest_documents, bpe.encode_documents])
+def test_a_task_holds_few_words_and_leaves_none(step):
+    """Its process goes on to other steps, with what memory the executor has."""
+
+    def batches(n):
+        for k in range(n):
+            words = ("".join(chr(97 + i // 26**j % 26) for j in range(5)) for i in range(k * 20_000, (k + 1) * 20_000))
+            yield pa.RecordBatch.from_pydict({"doc_id": [k], "text": [" ".join(words)]})
+
+    docs = SimpleNamespace(schema={"doc_id": SimpleNamespace(dataType=LongType())}, mapInArrow=lambda run, _: run)
+    docs.select = lambda *_: docs
+    run = step(docs, PATH)
+    list(run(batches(1)))  # loads the vocabulary
+    tracemalloc.start()
+    held = [tracemalloc.get_traced_memory()[0] for _ in run(batches(15))]
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert max(held) < 28 << 20 and left < 2 << 20
+
+
 def test_query(spark, sf_dir, library):
     want = set()
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():

@@ -1,7 +1,10 @@
 import hashlib
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tributary.llm import substring_dedup as S
 
@@ -91,6 +94,19 @@ def test_levels_double_until_none_survives(spark):
     assert S.longest_repeats(table(spark, [])) == []
 
 
+def test_a_batch_needs_little_memory():
+    """Two workers of an executor have what its JVM leaves them."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(400), "text": ["so many words " * 700] * 400})
+    run = S._first_windows(SimpleNamespace(mapInArrow=lambda run, _: run), 7, 13)
+    list(run(iter([batch])))  # makes what all batches share
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert Counter(tuple(r) for r in S.op3_substring_dedup(spark, sf_dir).collect()) == brute(rows)

@@ -4,7 +4,8 @@ A short word is held as one contiguous array of parts and one of the ranks of ad
 minimum of the ranks is looked for again and again; its boundary is deleted and the two ranks beside
 it are refreshed. For words of up to some hundred bytes this scan beats any heap; longer runs go
 through a heap over a linked list. Words of equal length are merged at once, as rows of a matrix of
-parts and one of ranks. Words repeat, so results are kept per process, up to a bound.
+parts and one of ranks. Words repeat, so a task keeps results, up to a bound, and leaves none in its
+process, which goes on to other work in what memory its executor has.
 
 Files of another kind (a normaliser, another splitter, other flags) are left to the library.
 """
@@ -24,16 +25,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .io import table
-from .words import chunks
+from .words import chunks, relax
 
 SHORT = 160
-#: Entries of a generation of a process's memories of space-led units and of words in them.
-UNITS, PIECES = 250_000, 125_000
+#: Entries of a generation of a task's memories of space-led units and of words in them.
+UNITS, PIECES = 80_000, 40_000
 _NONE = 1 << 62
 #: Words of one length that are merged as rows of a matrix; fewer go one by one. Rows at once.
 ROWS, MOST_ROWS = 12, 1 << 14
 #: Characters of the texts that are looked at together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 #: Letters and numbers of newer Unicode versions than the vocabulary's library knows: other signs to it.
 _LATER = (
@@ -141,6 +142,10 @@ class ByteBpe:
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.pieces, self.spaced = _Memory(PIECES), _Memory(UNITS)
 
+    def forget(self) -> None:
+        """Empties the memories."""
+        self.pieces, self.spaced = _Memory(self.pieces.size), _Memory(self.spaced.size)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
         if len(word) > SHORT:
@@ -285,7 +290,10 @@ class ByteBpe:
         ids = np.frombuffer(b"".join(coded), "<u4")
         size = self.token_size[ids]
         ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.token_data[np.repeat(self.token_start[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((self.token_start[ids] - ends[:-1]).astype(kind), size)
+        at += np.arange(ends[-1], dtype=kind)
+        data = self.token_data[at].tobytes()
         cut = ends[np.cumsum([0, *map(len, coded)]) // 4].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
 
@@ -300,6 +308,9 @@ class LibraryBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
 
+    def forget(self) -> None:
+        """Nothing: the library bounds its own memory."""
+
     def encode(self, text: str | None) -> bytes:
         return np.asarray(self.library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -359,6 +370,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+            del ids, lists
+            relax()
+        bpe.forget()
+        relax()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
@@ -392,8 +407,12 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 n += [len(x) // 4 for x in ids]
                 coded += [sha(x).hexdigest() for x in ids]
                 decoded += [sha(t.encode()).hexdigest() for t in bpe.decode_many(ids)]
+                del texts, ids
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            relax()
         gc.enable()
+        bpe.forget()
+        relax()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .io import stored, table
-from .words import _BYTE, _SPACE, LOWER, Text, Words, _byte_powers, chunks, mix, owners, windows
+from .words import _BYTE, _SPACE, LOWER, Text, Words, _byte_powers, chunks, mix, owners, relax, windows
 
 #: Words of a window; of these at least so many that aren't placeholders.
 WINDOW, PLAIN = 8, 4
@@ -333,6 +333,7 @@ def _looker(index):
             kinds = (None, pa.string(), *[pa.int64()] * 4)
             columns += [pa.array([r[k] for r in rows], t) if rows else pa.array([], t or pa.int64()) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "kind", "n_windows", "n_matched", "n_slots", "n_consistent"])
+            relax()
 
     return run
 
@@ -344,6 +345,7 @@ def _judge(index):
         for a, _, chunk in chunks(pa.array(texts, pa.large_string(), from_pandas=True)):
             for doc, *_ in _found(index.value, canonical(chunk)):
                 found[a + doc] = True
+        relax()
         return pd.Series(found)
 
     return judge

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .io import table
+from .words import relax
 
 #: Labelled documents per language that dictionaries are cut from, characters taken of each (from
 #: its middle), and bytes of a dictionary.
@@ -101,6 +102,7 @@ def judged(text: Column, dictionaries: dict[str, bytes], min_margin: float = MIN
         for texts in batches:
             found = [by_text(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[0] == UNDETERMINED or f[1] < min_margin for f in found]})
+            relax()
 
     return judge(text)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .io import integer_ids, stored, table
-from .words import chunks, mix, owners, windows, words_of
+from .words import chunks, mix, owners, relax, windows, words_of
 
 #: Words of a window that counts as a repeat.
 LENGTH = 13
@@ -75,6 +75,7 @@ def bit_map(hashes: DataFrame, n: int, max_bytes: int | None = None) -> BitMap:
             for k in np.unique(s):
                 m = maps.setdefault(int(k), np.zeros(1 << segment, bool))
                 m[at[s == k]] = True
+            relax()
         for k, m in maps.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["s", "m"])
 
@@ -131,10 +132,13 @@ def _first_windows(docs: DataFrame, size: int, longer: int, by_id: bool = False,
             if by_id:
                 once = new | other
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(row[once], pa.int64())], ["h", "id"])
+                relax()
                 continue
             first = np.flatnonzero(new)
             many = np.add.reduceat(other, first) if len(first) else first
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(1 + (many > 0), pa.int32())], ["h", "n"])
+            del hashes, rows, h, row, order, new, other, first, many
+            relax()
 
     return docs.mapInArrow(sample, "h bigint, id bigint" if by_id else "h bigint, n int")
 
@@ -291,6 +295,8 @@ def _repeats(docs: DataFrame, length: int, before: Level, sampled: bool, max_map
                     parts = []
             if parts:
                 yield from settled(parts, memory)
+            del parts
+            relax()
 
     rows = docs.mapInArrow(emit, "h1 bigint, h2 int, id bigint, pos int, packed binary")
     if report:
@@ -318,6 +324,7 @@ def _repeats(docs: DataFrame, length: int, before: Level, sampled: bool, max_map
                 found.append((doc[k], pos[k].astype(np.int64), h2[k].view(np.uint32)))
             if sum(len(f[0]) for f in found) > 500_000:
                 yield _flush(found)
+            relax()
         if found:
             yield _flush(found)
 
@@ -407,6 +414,7 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone.append(total - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            relax()
 
     return joined.select("doc_id", "text", packed).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
@@ -421,6 +429,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for t, p in zip(texts, packed):
             words, total = _kept(t.encode(), list(p), length) if t and p is not None and len(p) else ((), 0)
             out.append(b" ".join(words).decode() if len(words) < total else t)
+        relax()
         return pd.Series(out, dtype=object)
 
     joined, _, packed = _with_repeats(docs, repeated_windows(docs, length))

@@ -14,8 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes handled at once; a longer document forms a chunk of its own.
-CHUNK_BYTES = (1 << 20) - 1
+#: Text bytes handled at once, for which a dozen times that memory is needed; a longer document forms a chunk of its own.
+CHUNK_BYTES = (1 << 18) - 1
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
