@@ -371,7 +371,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
             del ids, lists
-            relax()
         bpe.forget()
         relax()
 
@@ -409,7 +408,6 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 decoded += [sha(t.encode()).hexdigest() for t in bpe.decode_many(ids)]
                 del texts, ids
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            relax()
         gc.enable()
         bpe.forget()
         relax()
