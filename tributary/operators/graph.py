@@ -5,17 +5,17 @@ from __future__ import annotations
 import heapq
 import tempfile
 from collections import defaultdict
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
-#: Edges that the exact order may hold in the driver's memory, more are read from its disk; and rows
-#: that it takes or gives at once.
-RANK_EDGES, RANK_ROWS = 200_000, 200_000
+#: Edges that the exact order may hold in the driver's memory, more are read from its disk; rows that
+#: it gives at once; and edges that a task sends to it.
+RANK_EDGES, RANK_ROWS, SENT_EDGES = 200_000, 1_000_000, 1_000_000
 
 
 def reachable(edges: DataFrame, start: str | None = None) -> DataFrame:
@@ -85,44 +85,71 @@ def ranks(edges: list[tuple[str, str]]) -> dict[str, int]:
     return rank | {n: cyclic for n in names - set(rank)}
 
 
-def _numbered_ranks(pairs: DataFrame) -> DataFrame:
+def _packed(numbered: DataFrame, n_edges: int, kind: type) -> DataFrame:
+    """Rows of bytes: numbers of edges in order, up to as many rows as Arrow has in a batch. Ranges by
+    both numbers, so that a node with many edges lies in several; none is more than a few MB."""
+    kind = np.dtype(kind).str
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({c: pa.array([b.column(c).to_numpy().astype(kind).tobytes()], pa.binary()) for c in ("a", "b")})
+
+    ranges = numbered.repartitionByRange(max(1, -(-n_edges // SENT_EDGES)), "a", "b").sortWithinPartitions("a", "b")
+    return ranges.mapInArrow(pack, "a binary, b binary")
+
+
+def _numbered_ranks(links: DataFrame, n_edges: int) -> DataFrame:
     """(node, r) as ``ranks`` has them, for any number of edges: names are numbered in their order by
-    the executors, edges are numbers in a file of the driver, and the driver's memory holds some
-    numbers a node."""
-    spark = pairs.sparkSession
-    links = stored(pairs.where("`from` is not null and `to` is not null"))
+    the executors, edges come as blocks of numbers into a file of the driver, and the driver's memory
+    holds some numbers a node. ``links``: distinct edges without nulls."""
+    spark = links.sparkSession
     names = links.select(F.col("from").alias("node")).union(links.select(F.col("to").alias("node"))).distinct()
-    order = stored(names).orderBy("node").rdd.zipWithIndex()
-    ids = stored(spark.createDataFrame(order, "name struct<node: string>, id bigint").select("name.node", "id"))
-    n = ids.count()
+    # sorted ranges: a range's number is above the 33 bits of a place in it
+    order = stored(names.orderBy("node").select("node", F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33).alias("p")
+    sizes, n = sorted(map(tuple, order.groupBy(part).count().collect())), 0
+    starts = []
+    for p, size in sizes:
+        starts.append((p, n - (p << 33)))
+        n += size
+    ids = stored(order.select("node", "m", part).join(F.broadcast(spark.createDataFrame(starts, "p bigint, start bigint")), "p").select("node", (F.col("m") + F.col("start")).alias("id")))
     a, b = (ids.select(F.col("node").alias(c), F.col("id").alias(k)) for c, k in (("from", "a"), ("to", "b")))
-    numbered = stored(links.join(a, "from").join(b, "to").select("a", "b")).orderBy("a")
+    numbered = stored(links.join(a, "from").join(b, "to").select("a", "b"))
     first, need = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
     with tempfile.TemporaryFile() as file:
-        rows = numbered.toLocalIterator()
-        while part := list(islice(rows, RANK_ROWS)):
-            part = np.array(part, np.int64)
-            np.add.at(first, part[:, 0] + 1, 1)
-            np.add.at(need, part[:, 1], 1)
-            part[:, 1].tofile(file)
+        for row in _packed(numbered, n_edges, kind).toLocalIterator():
+            at, to = (np.frombuffer(x, kind) for x in row)
+            np.add.at(first, at.astype(np.int64) + 1, 1)
+            np.add.at(need, to, 1)
+            file.write(to)
         file.flush()
         np.cumsum(first, out=first)
-        targets = np.memmap(file, np.int64, "r", shape=(int(first[-1]),)) if first[-1] else np.zeros(0, np.int64)
-        ready = np.flatnonzero(need == 0).tolist()  # sorted, so a heap
-        rank, done = np.full(n, -1, np.int64), 0
-        while ready:
-            k = heapq.heappop(ready)
+        # a view of the file, without the cost that each slice of a memmap has
+        targets = np.asarray(np.memmap(file, kind, "r", shape=(int(first[-1]),))) if first[-1] else np.zeros(0, kind)
+        start, heap = np.flatnonzero(need == 0), []
+        rank, done, s = np.full(n, -1, np.int64), 0, 0
+        while s < len(start) or heap:
+            if s < len(start) and not (heap and heap[0] < start[s]):
+                k = start[s]
+                s += 1
+            else:
+                k = heapq.heappop(heap)
             rank[k] = done
             done += 1
-            out = np.asarray(targets[first[k] : first[k + 1]])
-            need[out] -= 1
-            for m in out[need[out] == 0].tolist():
-                heapq.heappush(ready, m)
+            out = targets[first[k] : first[k + 1]]
+            if len(out):
+                left = need[out] - 1
+                need[out] = left
+                if not left.all():
+                    for m in out[left == 0].tolist():
+                        heapq.heappush(heap, m)
         del targets
     rank[rank < 0] = done
     places = None
     for k in range(0, max(n, 1), RANK_ROWS):
-        part = stored(spark.createDataFrame([(k + i, r) for i, r in enumerate(rank[k : k + RANK_ROWS].tolist())], "id bigint, r bigint"))
+        r = rank[k : k + RANK_ROWS]
+        part = stored(spark.createDataFrame(pa.table({"id": np.arange(k, k + len(r)), "r": r})))
         places = part if places is None else places.union(part)
     return ids.join(places, "id").select("node", "r")
 
@@ -134,12 +161,13 @@ def topological(edges: DataFrame, limit: int = RANK_EDGES) -> DataFrame:
     ``limit`` are ranked in the driver's memory, and more are numbered by the executors and ranked
     from the driver's disk, in the same order.
     """
-    pairs = edges.select("from", "to").distinct()
+    pairs = stored(edges.select("from", "to").distinct())
     spark = edges.sparkSession
-    if pairs.count() <= limit:
+    n = pairs.count()
+    if n <= limit:
         found = ranks([(r["from"], r["to"]) for r in pairs.collect()])
         places = spark.createDataFrame(list(found.items()) or [], "node string, r bigint")
     else:
-        places = _numbered_ranks(pairs)
+        places = _numbered_ranks(pairs.where("`from` is not null and `to` is not null"), n)
     j = edges.join(places.select(F.col("node").alias("from"), F.col("r").alias("rf")), "from").join(places.select(F.col("node").alias("to"), F.col("r").alias("rt")), "to")
     return j.select("*", F.struct("rf", "rt", "from", "to").alias("rank")).drop("rf", "rt")
