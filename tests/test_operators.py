@@ -172,3 +172,15 @@ def test_exact_order_gets_edges_in_blocks(spark, monkeypatch):
     got = {(x["from"], x["to"]): (x["rank"].rf, x["rank"].rt) for x in graph.topological(spark.createDataFrame(pairs, "from string, to string"), 0).collect()}
     want = graph.ranks(pairs[:-1])
     assert got == {(a, b): (want[a], want[b]) for a, b in pairs[:-1]}
+
+
+def test_stamps_of_far_years(spark):
+    want = {0: "1970-01-01T00:00:00Z", -1: "1969-12-31T23:59:59Z", 951782399: "2000-02-28T23:59:59Z", 253402300799: "9999-12-31T23:59:59Z", 253402300800: "10000-01-01T00:00:00Z", 4668894000000: "149921-05-13T00:00:00Z", -62135596801: "0000-12-31T23:59:59Z", -62200000000: "-2-12-17T14:13:20Z"}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            rows = spark.createDataFrame([(k,) for k in [*want, None]], "k long").select("k", S.rfc3339(F.col("k")).alias("t")).collect()
+            assert {r.k: r.t for r in rows} == want | {None: None}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

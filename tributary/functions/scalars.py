@@ -117,7 +117,15 @@ def edge_description(description: Column, inferred: Column) -> Column:
 
 
 def rfc3339(seconds: Column) -> Column:
-    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """In UTC, whatever the session's zone. Years of more than four digits have no sign, as SQL's strftime writes them."""
+    whole = F.floor(seconds).cast("bigint")
+    rest = F.pmod(whole, F.lit(86400))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), ((whole - rest) / 86400).cast("int"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    year = F.year(date)
+    text = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    clock = [two(F.floor(rest / 3600).cast("int")), two((F.floor(rest / 60) % 60).cast("int")), two((rest % 60).cast("int"))]
+    return F.concat(text, F.lit("-"), two(F.month(date)), F.lit("-"), two(F.dayofmonth(date)), F.lit("T"), clock[0], F.lit(":"), clock[1], F.lit(":"), clock[2], F.lit("Z"))
 
 
 def collapse(text: Column) -> Column:
