@@ -1,4 +1,8 @@
-"""Operators over the tables of a lineage document. First-seen order is always an explicit column."""
+"""Operators over the tables of a lineage document. First-seen order is always an explicit column.
+
+Mappings are a table of their own, ``column_edges``, joined by edge_id; without it, edges have theirs
+in order in an array ``mappings`` of the same members, and nothing is joined.
+"""
 
 from __future__ import annotations
 
@@ -60,16 +64,17 @@ def downstream_of(edges: DataFrame, source: str) -> DataFrame:
     return edges.where(F.col("from") == F.lit(source)).select(F.col("to").alias("dataset"))
 
 
-def observed_columns(edges: DataFrame, column_edges: DataFrame) -> DataFrame:
+def observed_columns(edges: DataFrame, column_edges: DataFrame | None) -> DataFrame:
     """(dataset, column, at) that mappings of real edges name, at their first place: targets before sources."""
-    real = column_edges.join(edges.where(~F.col("column_discovery")).select("edge_id"), "edge_id", "left_semi")
+    real = edges.where(~F.col("column_discovery"))
+    real = real.select("edge_id", F.explode("mappings").alias("m")).select("edge_id", "m.*") if column_edges is None else column_edges.join(real.select("edge_id"), "edge_id", "left_semi")
     at = lambda k, p: F.struct(F.col("edge_id").alias("e"), F.col("ordinal").alias("o"), F.lit(k).alias("k"), p.alias("p"))
     to = real.select("to_column.dataset", "to_column.column", at(0, F.lit(0)).alias("at"))
     source = real.select("edge_id", "ordinal", F.posexplode("from_columns").alias("p", "r")).select("r.dataset", "r.column", at(1, F.col("p")).alias("at"))
     return to.union(source).groupBy("dataset", "column").agg(F.min("at").alias("at"))
 
 
-def backfill_schemas(datasets: DataFrame, edges: DataFrame, column_edges: DataFrame) -> DataFrame:
+def backfill_schemas(datasets: DataFrame, edges: DataFrame, column_edges: DataFrame | None = None) -> DataFrame:
     """Datasets whose schemas also hold the columns that mappings name, in first-seen order."""
     known = datasets.select(F.col("name").alias("dataset"), F.explode("schema").alias("f")).select("dataset", F.col("f.name").alias("column"))
     new = observed_columns(edges, column_edges).join(known, ["dataset", "column"], "left_anti")
@@ -89,16 +94,19 @@ def fill_same_names(datasets: DataFrame, edges: DataFrame, column_edges: DataFra
     return shared.join(mapped, ["edge_id", "column"], "left_anti").select("edge_id", "from", "to", "column")
 
 
-def missing_lineage(edges: DataFrame, column_edges: DataFrame, jobs: DataFrame) -> DataFrame:
+def missing_lineage(edges: DataFrame, column_edges: DataFrame | None, jobs: DataFrame) -> DataFrame:
     """Edges without any mapping and without a note of their declaration: a warning at their job."""
-    bare = edges.where(F.col("origin.note").isNull() & ~F.col("column_discovery")).join(column_edges.select("edge_id"), "edge_id", "left_anti")
+    bare = edges.where(F.col("origin.note").isNull() & ~F.col("column_discovery"))
+    bare = bare.where(F.coalesce(F.size("mappings"), F.lit(0)) <= 0) if column_edges is None else bare.join(column_edges.select("edge_id"), "edge_id", "left_anti")
     at = jobs.select(F.col("id").alias("job"), "location").dropDuplicates(["job"])
     message = F.concat(F.lit("no column lineage for "), last_segment(F.col("from")), F.lit(" -> "), last_segment(F.col("to")))
     return bare.join(at, "job", "left").select("edge_id", F.lit("warn").alias("level"), F.lit("W_NO_COLUMN_LINEAGE").alias("code"), message.alias("message"), "location")
 
 
-def with_inferred(edges: DataFrame, column_edges: DataFrame) -> DataFrame:
+def with_inferred(edges: DataFrame, column_edges: DataFrame | None = None) -> DataFrame:
     """Edges with ``has_inferred``: their origin or that of any of their mappings is inferred."""
+    if column_edges is None:
+        return edges.withColumn("has_inferred", is_inferred(F.col("origin.source")) | F.coalesce(F.exists("mappings", lambda m: is_inferred(m["origin"]["source"])), F.lit(False)))
     some = column_edges.groupBy("edge_id").agg(F.max(is_inferred(F.col("origin.source")).cast("int")).alias("m"))
     return edges.join(some, "edge_id", "left").withColumn("has_inferred", is_inferred(F.col("origin.source")) | (F.coalesce("m", F.lit(0)) == 1)).drop("m")
 
